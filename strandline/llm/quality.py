@@ -40,7 +40,7 @@ DEFAULT_RULES = (
     Rule("mean_word_length", 2.0, 14.0),
     Rule("symbol_ratio", None, 0.5),
     Rule("stop_word_ratio", 0.01, None, min_words=50),
-    Rule("dup_line_ratio", None, 0.3),
+    Rule("dup_line_ratio", None, 0.5),
     Rule("upper_ratio", None, 0.7),
 )
 

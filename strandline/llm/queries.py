@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import exact, quality, sharding
+from strandline.llm import exact, packing, quality, sharding, warc
+from strandline.llm.common import scratch
 
 #: Byte limit of a shard in the registered query.
 SHARD_BYTES = 1 << 20
@@ -22,6 +24,17 @@ def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(table(spark, sf_dir, "documents"), max_bytes=SHARD_BYTES)
 
 
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.payload_facts(warc.assemble(warc.read_records(spark, path)))
+
+
+def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.harmonic_pack(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.content_sort(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -81,18 +94,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND word_chars / n_words BETWEEN 2.0 AND 14.0
        AND n_symbols / n_words <= 0.5
        AND (n_words < 50 OR stops / n_words >= 0.01)
-       AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.3)
+       AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.5)
        AND (letters = 0 OR uppers / letters <= 0.7) AS kept
 FROM v
 """
 
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS b FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY b) AS top FROM p)
+SELECT page_id, CAST(strlen(b) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(sha1(b), 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM m
+"""
+
 QUERIES: dict[str, Query] = {
+    "op2_warc_transactions": op2_warc_transactions,
     "op3_extendible_sharding": op3_extendible_sharding,
+    "op5_harmonic_packing": op5_harmonic_packing,
     "op8_content_sort": op8_content_sort,
     "op10_quality_rules": op10_quality_rules,
 }
 
 SQL: dict[str, str] = {
+    "op2_warc_transactions": OP2_SQL,
     "op3_extendible_sharding": OP3_SQL,
     "op8_content_sort": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
