@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import exact, packing, quality, sharding, warc
+from strandline.llm import exact, langid, packing, pii, quality, sharding, warc
 from strandline.llm.common import scratch
 
 #: Byte limit of a shard in the registered query.
@@ -24,6 +24,11 @@ def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(table(spark, sf_dir, "documents"), max_bytes=SHARD_BYTES)
 
 
+def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.extract(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_found", F.size("found").cast("long")).drop("base", "found")
+
+
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -39,6 +44,12 @@ def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.content_sort(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.where("not held_out"))
+    return langid.predict(docs, model, keep=("doc_id", "held_out"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -111,10 +122,12 @@ FROM m
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_bootstrapped_pii": op1_bootstrapped_pii,
     "op2_warc_transactions": op2_warc_transactions,
     "op3_extendible_sharding": op3_extendible_sharding,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op8_content_sort": op8_content_sort,
+    "op9_word_backoff": op9_word_backoff,
     "op10_quality_rules": op10_quality_rules,
 }
 
