@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import exact, langid, packing, pii, quality, sharding, warc
+from strandline.llm import exact, langid, mixing, packing, pii, quality, sharding, substring, warc
 from strandline.llm.common import scratch
 
+#: Target shares of the registered mix: sources are tempered, the rest is named.
+MIX_TARGETS = {
+    "source": 0.7,
+    "lang": {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11},
+    "topic": {"prose": 0.94, "tabular": 0.03, "noisy": 0.02, "shouting": 0.01},
+}
+MIX_SWEEPS = 10
+
 #: Byte limit of a shard in the registered query.
 SHARD_BYTES = 1 << 20
 
@@ -35,11 +43,22 @@ def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.payload_facts(warc.assemble(warc.read_records(spark, path)))
 
 
+def op4_proportional_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.content_topic(F.col("text"))}
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), dims, MIX_TARGETS, sweeps=MIX_SWEEPS)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("prob", 9).alias("prob"), "sampled")
+
+
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.harmonic_pack(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_relative_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = substring.parse_repeats(table(spark, sf_dir, "documents"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.content_sort(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -73,6 +92,50 @@ SELECT m.doc_id, m.n_bytes, b.shard, b.depth, b.shard_bytes, b.shard_rows, b.sha
 FROM m JOIN b ON b.depth = m.depth AND b.shard = substr(m.h, 1, m.depth)
 """
 
+
+
+def _mix_sql() -> str:
+    steps = [
+        r"""d AS (
+  SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang,
+         CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'tabular' WHEN contains(coalesce(text, ''), '!!') THEN 'shouting'
+              WHEN regexp_matches(coalesce(text, ''), '[#$%&*]{3}') THEN 'noisy' ELSE 'prose' END AS topic,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents)""",
+        "c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)",
+    ]
+    for dim, target in MIX_TARGETS.items():
+        if isinstance(target, dict):
+            named = " ".join(f"WHEN '{v}' THEN {s}" for v, s in target.items())
+            left = max(0.0, 1.0 - sum(target.values()))
+            steps.append(f"s_{dim} AS (SELECT {dim}, sum(tokens) AS m, CASE {dim} {named} END AS n FROM c GROUP BY 1)")
+            steps.append(f"r_{dim} AS (SELECT {dim}, coalesce(n, {left} * m / (SELECT sum(m) FROM s_{dim} WHERE n IS NULL)) AS s FROM s_{dim})")
+        else:
+            steps.append(f"r_{dim} AS (SELECT {dim}, pow(sum(tokens), {target}) AS s FROM c GROUP BY 1)")
+        steps.append(f"t_{dim} AS (SELECT {dim}, s / sum(s) OVER () AS t_{dim} FROM r_{dim})")
+    joins = " ".join(f"JOIN t_{dim} USING ({dim})" for dim in MIX_TARGETS)
+    steps.append(f"w0 AS MATERIALIZED (SELECT *, tokens AS weight FROM c {joins})")
+    n = 0
+    for _ in range(MIX_SWEEPS):
+        for dim in MIX_TARGETS:
+            n += 1
+            steps.append(f"w{n} AS MATERIALIZED (SELECT * REPLACE (weight * t_{dim} / sum(weight) OVER (PARTITION BY {dim}) AS weight) FROM w{n - 1})")
+    steps.append(f"p AS (SELECT source, lang, topic, (weight / tokens) / max(weight / tokens) OVER () AS prob FROM w{n})")
+    uniform = "CAST('0x' || substr(md5('0:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0"
+    return f"WITH {', '.join(steps)} SELECT doc_id, source, lang, topic, n_tokens, round(prob, 9) AS prob, {uniform} < prob AS sampled FROM d JOIN p USING (source, lang, topic)"
+
+
+OP6_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i+19], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM t)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM r, (SELECT unnest(range(0, 20)) AS k)),
+k AS (SELECT doc_id, ws[i] AS w, i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM t) ANTI JOIN c USING (doc_id, i)),
+j AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept, count(*) AS n FROM k GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN j USING (doc_id)
+"""
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -125,7 +188,9 @@ QUERIES: dict[str, Query] = {
     "op1_bootstrapped_pii": op1_bootstrapped_pii,
     "op2_warc_transactions": op2_warc_transactions,
     "op3_extendible_sharding": op3_extendible_sharding,
+    "op4_proportional_mix": op4_proportional_mix,
     "op5_harmonic_packing": op5_harmonic_packing,
+    "op6_relative_parsing": op6_relative_parsing,
     "op8_content_sort": op8_content_sort,
     "op9_word_backoff": op9_word_backoff,
     "op10_quality_rules": op10_quality_rules,
@@ -134,6 +199,8 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op2_warc_transactions": OP2_SQL,
     "op3_extendible_sharding": OP3_SQL,
+    "op4_proportional_mix": _mix_sql(),
+    "op6_relative_parsing": OP6_SQL,
     "op8_content_sort": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
 }
