@@ -57,8 +57,8 @@ def _measures(text: Column) -> list[dict[str, Column]]:
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_stops": F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))),
-        "_uppers": F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")),
-        "_letters": F.length(F.regexp_replace(text, r"[^\p{L}]", "")),
+        "_uppers": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")),
+        "_letters": F.length(F.regexp_replace(text, r"[^\p{L}]+", "")),
     }
     return [first, second]
 
@@ -66,12 +66,14 @@ def _measures(text: Column) -> list[dict[str, Column]]:
 def _repeated(n: Column, hashes: str) -> list[dict[str, Column]]:
     """Words in five-word windows that stand in the text twice or more.
 
-    Windows are sorted with their places; equal neighbours are repeats; the
-    union of their words follows from the sorted places of the repeats.
+    Most texts have no such window, which a count of distinct ones shows.  In
+    the others windows are sorted with their places; equal neighbours are
+    repeats; the union of their words follows from the repeats' sorted places.
     """
     h = F.col(hashes)
-    window = lambda i: F.struct(F.xxhash64(*[h[i + k] for k in range(5)]).alias("h"), i.alias("i"))
-    windows = F.when(n >= 5, F.array_sort(F.transform(F.sequence(F.lit(0), n.cast("int") - 5), window)))
+    windows = F.when(n >= 5, F.transform(F.sequence(F.lit(0), n.cast("int") - 5), lambda i: F.xxhash64(*[h[i + k] for k in range(5)])))
+    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
+    ordered = F.when(repeats, F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
     s = F.col("_sorted")
     place = lambda x, j: F.when(
         F.coalesce(x["h"] == F.get(s, j - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, j + 1)["h"], F.lit(False)), x["i"]
@@ -79,7 +81,7 @@ def _repeated(n: Column, hashes: str) -> list[dict[str, Column]]:
     places = F.array_sort(F.filter(F.transform(s, place), lambda i: i.isNotNull()))
     begin = F.struct(F.lit(-5).alias("last"), F.lit(0).cast("long").alias("total"))
     step = lambda acc, i: F.struct(i.alias("last"), (acc["total"] + F.least(F.lit(5), i - acc["last"])).alias("total"))
-    return [{"_sorted": windows}, {"_places": places}, {"n_repeat_words": F.coalesce(F.aggregate("_places", begin, step, lambda acc: acc["total"]), F.lit(0).cast("long"))}]
+    return [{"_windows": windows}, {"_sorted": ordered}, {"_places": places}, {"n_repeat_words": F.coalesce(F.aggregate("_places", begin, step, lambda acc: acc["total"]), F.lit(0).cast("long"))}]
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -119,4 +121,4 @@ def score(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] =
         broken.append(F.when((F.col("n_words") >= r.min_words) & outside, F.lit(f"{i}:{r.measure}")))
     failed = F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
     out = out.withColumn("failed_rules", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_text", "_words", "_lines", "_hashes", "_stops", "_uppers", "_letters", "_sorted", "_places")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_text", "_words", "_lines", "_hashes", "_stops", "_uppers", "_letters", "_windows", "_sorted", "_places")
