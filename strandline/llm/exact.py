@@ -107,11 +107,12 @@ def content_sort(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows that stay, with all their columns.  Rows that share the id and the
     text of one that stays are reduced to one of them."""
-    names = docs.columns
-    decided = content_sort(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
+    decided = content_sort(docs, id_col=id_col, text_col=text_col, **options).where("kept").groupBy(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    decided = cut(decided.agg(F.count("*").alias("_n")), "kept")
     norm = options.get("normalise")
     norm = F.coalesce(norm if norm is not None else F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_sha", F.sha2(norm, 256))
-    both = rows.join(decided, (rows[id_col].cast("long").eqNullSafe(decided["_keep"])) & (rows["_sha"] == decided["_sha"]), "left_semi").drop("_sha")
-    ids = rows.groupBy(id_col, "_sha").count().where("count > 1").limit(1)
-    return both if ids.isEmpty() else both.dropDuplicates([id_col, text_col]).select(*names)
+    rows = docs.withColumn("_own", F.sha2(norm, 256))
+    out = rows.join(decided, rows[id_col].cast("long").eqNullSafe(decided["_keep"]) & (rows["_own"] == decided["_sha"]))
+    if not decided.where("_n > 1").isEmpty():
+        out = out.dropDuplicates(["_keep", "_sha"])
+    return out.select(*(docs[c] for c in docs.columns))

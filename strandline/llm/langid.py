@@ -140,7 +140,7 @@ def _predictor(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
         for batch in batches:
             predicted, scores = [], []
-            for text in batch.column("text"):
+            for text in batch.column("_text"):
                 words = _LETTERS.findall((text.as_py() or "").lower())
                 if not words or not langs:
                     predicted.append(UNKNOWN)
@@ -156,7 +156,7 @@ def _predictor(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 best = int(np.argmax(total))
                 predicted.append(langs[best])
                 scores.append(float(p[best] / p.sum()))
-            names = [n for n in batch.schema.names if n != "text"]
+            names = [n for n in batch.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return run
@@ -170,8 +170,8 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tupl
     ``und`` of everything.  Texts are read whole, row by row.
     """
     spark: SparkSession = docs.sparkSession
-    rows = docs.select(*keep, F.col(text_col).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
     return rows.mapInArrow(_predictor(spark.sparkContext.broadcast(model)), f"{schema}, lang_pred string, score double")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import exact, langid, mixing, packing, pii, quality, sharding, substring, warc
+from strandline.llm import exact, langid, minhash, mixing, packing, pii, quality, sharding, substring, warc
 from strandline.llm.common import scratch
 
 #: Target shares of the registered mix: sources are tempered, the rest is named.
@@ -59,6 +59,10 @@ def op6_relative_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.content_sort(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -191,6 +195,7 @@ QUERIES: dict[str, Query] = {
     "op4_proportional_mix": op4_proportional_mix,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_relative_parsing": op6_relative_parsing,
+    "op7_prob_minhash": op7_prob_minhash,
     "op8_content_sort": op8_content_sort,
     "op9_word_backoff": op9_word_backoff,
     "op10_quality_rules": op10_quality_rules,
