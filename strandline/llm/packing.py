@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a worker's memory of words; a full one starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 _PACKED = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -45,34 +45,35 @@ def pieces(length: int, capacity: int, slack: float) -> list[tuple[int, int]]:
 class Encoder:
     """Token ids of a text as little-endian 32-bit integers.
 
-    The tokenizer drops white space and never joins words across it, so ids are
-    those of the words in turn, and words met before are looked up.  Words of
-    plain Latin letters are split by the tokenizer's own pattern first, which
-    makes many of them known pieces; any other word goes to the tokenizer whole.
+    The tokenizer lower-cases, splits by its pattern and encodes each part for
+    itself, so parts met before are looked up and new ones are encoded together.
+    This holds for texts of Latin letters (which are in normal form as they
+    are); any other text goes to the tokenizer whole.
     """
 
-    # The split pattern of the vocabulary file.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    PLAIN = re.compile("[!-~¡-ɏ]*")
+    LATIN = 0x250
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(self.PATTERN).findall
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        # The vocabulary file's split pattern, with its classes spelled out for
+        # Latin text and its exclusive alternatives in order of frequency.
+        of = lambda kind: "".join(re.escape(chr(i)) for i in range(self.LATIN) if unicodedata.category(chr(i))[0] == kind)
+        letters, numbers = of("L"), of("N")
+        self.split = re.compile(rf"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{numbers}]|[^\s{letters}{numbers}]+").findall
+        self.plain = re.compile("[\t\n\x0b\x0c\r -~\xa1-\u024f]*").fullmatch
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn_parts(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         ids = self._encode(" ".join(new))
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(new):
@@ -84,34 +85,18 @@ class Encoder:
             for part in new:
                 self.parts[part] = self._encode(part).tobytes()
 
-    def learn(self, new: set[str]) -> None:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        split: dict[str, list[str]] = {}
-        for w in new:
-            if self.PLAIN.fullmatch(w):
-                split[w] = self.split((w if w.isascii() else unicodedata.normalize("NFC", w)).lower())
-            else:
-                self.words[w] = self._encode(w).tobytes()
-        parts = self.parts
-        if unknown := list({p for x in split.values() for p in x if p not in parts}):
-            self._learn_parts(unknown)
-        for w, x in split.items():
-            self.words[w] = b"".join([parts[p] for p in x])
-
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         for i in range(0, len(texts), 64):
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[i : i + 64]]
-            known = self.words
-            if new := {w for x in split for w in x if w not in known}:
-                # Words of this run must all be known at once, so a reset learns them all.
-                if len(known) > REMEMBERED:
-                    new = {w for x in split for w in x}
-                self.learn(new)
-            for x in split:
-                yield b"".join([known[w] for w in x])
+            run = [t or "" for t in texts[i : i + 64]]
+            split = [self.split(t.lower()) if self.plain(t) else None for t in run]
+            if len(self.parts) > REMEMBERED:
+                self.parts.clear()
+            known = self.parts
+            new = set().union(*(x for x in split if x)).difference(known)
+            if new:
+                self._learn(list(new))
+            for t, x in zip(run, split, strict=True):
+                yield self._encode(t).tobytes() if x is None else b"".join([known[p] for p in x])
 
 
 _encoders: dict[str, Encoder] = {}
