@@ -10,8 +10,8 @@ are verified exactly on the whole texts.
 Copies of one text are one node.  Within a bucket no list of all pairs is made:
 every node is first verified against the smallest node it shares a bucket with;
 after that only nodes of different components are compared, by signature, in
-blocks, and a few best untried pairs of each node and other component go to
-verification, until none is left.
+blocks, and the best untried pairs of each node and other component go to
+verification, few at first, until none is left.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from strandline.llm.components import components
 
 #: Members of a bucket that are compared in one block.
 BLOCK = 4096
-#: Untried pairs of a node and another component that one block puts forward in a round.
-FEW = 2
+#: Untried pairs of a node and another component that one block puts forward in the
+#: first round, and the factor by which later rounds put forward more: most links
+#: show at once, and the rest has to be gone through in few rounds.
+FEW, MORE = 2, 8
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +170,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.concat_tables(held)
 
 
-def _put_forward(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _put_forward(least: float, few: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Untried pairs of different components whose signatures agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +194,7 @@ def _put_forward(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 taken: dict[int, int] = {}
                 for j in at[np.lexsort((ids[at], -agree[at]))]:
                     n = taken.get(labels[j], 0)
-                    if n < FEW:
+                    if n < few:
                         taken[labels[j]] = n + 1
                         found.add((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
             if found:
@@ -242,13 +244,15 @@ def near_duplicates(
     verified = _verified(pairs, texts, shingle)
     # Four and a half standard deviations below the threshold.
     least = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / registers)
+    few = FEW
     while True:
         links = verified.where(F.col("similarity") >= threshold)
         labels = components(links)
-        pairs = _cross_pairs(members, labels, signatures, verified, least)
+        pairs = _cross_pairs(members, labels, signatures, verified, least, few)
         if pairs.isEmpty():
             break
-        verified = cut(verified.unionByName(_verified(pairs, texts, shingle)), "verified")
+        verified = verified.unionByName(_verified(pairs, texts, shingle))
+        few *= MORE
     # Rows of one id are one document, so an id may join the classes of two texts.
     owned = signed.select("doc_id", "digest").join(nodes.select("digest", "id"), "digest", "left")
     own = owned.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
@@ -266,7 +270,7 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", **options) -> Da
     return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_keep"]), "left_semi")
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame, verified: DataFrame, least: float) -> DataFrame:
+def _cross_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame, verified: DataFrame, least: float, few: int) -> DataFrame:
     """Pairs of different components in one bucket that still want verification."""
     spark = members.sparkSession
     labelled = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
@@ -286,5 +290,5 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame, v
     tried = apart.where("coalesce(l1, id) <> coalesce(l2, other)").groupBy("id").agg(F.collect_set("other").alias("tried"))
     full = dealt.select("key", "block", "id", "label", "minor").join(signatures, "id").join(tried, "id", "left")
     sorted_rows = full.repartition(partitions(spark), "key", "block").sortWithinPartitions("key", "block", "id")
-    found = sorted_rows.mapInArrow(_put_forward(least), "a long, b long").distinct()
+    found = sorted_rows.mapInArrow(_put_forward(least, few), "a long, b long").distinct()
     return cut(found, "pairs")
