@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.windows import required
-from strandline.sources.panel import COLUMNS, NUMERIC, day
+from strandline.sources.panel import COLUMNS, NUMERIC, day, number
 
 PRICES = ("open", "high", "low", "close", "adj_close")
 
@@ -16,11 +16,12 @@ def _count(condition: Column) -> Column:
 
 
 def _value(c: str) -> Column:
-    return F.expr(f"try_cast(`{c}` as double)")
+    """The number, null for NaN, which would compare as larger than all others."""
+    return number(c)
 
 
 def _missing(c: str) -> Column:
-    return _value(c).isNull() | F.isnan(_value(c))
+    return _value(c).isNull()
 
 
 def quality_report(panel: DataFrame) -> DataFrame:
@@ -48,7 +49,9 @@ def quality_report(panel: DataFrame) -> DataFrame:
     keys = panel.groupBy("ticker", "session_date").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_keys"))
     out = rows.crossJoin(F.broadcast(keys))
     if "ingest_id" in panel.columns:
-        before = F.lag(day("session_date")).over(Window.partitionBy("ticker").orderBy("ingest_id"))
+        # Lines have an order within their file only.
+        where = ["ticker", "source_file"] if "source_file" in panel.columns else ["ticker"]
+        before = F.lag(day("session_date")).over(Window.partitionBy(*where).orderBy("ingest_id"))
         late = panel.select("ticker", (before > day("session_date")).alias("late")).groupBy("ticker").agg(F.max(F.coalesce("late", F.lit(False))).alias("late"))
         return out.crossJoin(F.broadcast(late.agg(F.count_if("late").alias("unordered_tickers"))))
     return out.withColumn("unordered_tickers", F.lit(None).cast("long"))

@@ -112,7 +112,7 @@ def cols(out: dict[str, str]) -> str:
 
 
 def index_series(name: str = "mi", where: str = "") -> str:
-    return f"{name} AS (SELECT CAST(o_orderdate AS DATE) AS session_date, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0::DOUBLE AS close FROM orders {where} GROUP BY 1)"
+    return f"{name} AS (SELECT CAST(o_orderdate AS DATE) AS session_date, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 370.0::DOUBLE AS close FROM orders {where} GROUP BY 1)"
 
 
 I = "OVER (ORDER BY session_date)"

