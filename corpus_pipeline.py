@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import exact, langid, minhash, mixing, packing
-from strandline.llm.common import scratch
+from strandline.llm.common import scratch, whole_row
 from strandline.llm.queries import MIX_SWEEPS, MIX_TARGETS
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; texts without a letter go."""
-    told = langid.predict(docs, langid.fit(docs), keep=tuple(docs.columns))
-    return told.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    told = langid.predict(docs.select(whole_row(docs), "text"), model, keep=("row",))
+    return told.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

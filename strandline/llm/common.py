@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the word separator of every operator here.
@@ -174,6 +174,11 @@ def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, in
         first = end
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that columns of any name travel untouched; ``row.*`` brings them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def utf8(column: str = "text"):
     """The text with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

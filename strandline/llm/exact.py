@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, partitions
+from strandline.llm.common import cut, partitions, whole_row
 
 #: Characters of the text in the splitters' key: bounds what sampling sends to the driver.
 PREFIX = 16
@@ -111,8 +111,8 @@ def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     decided = cut(decided.agg(F.count("*").alias("_n")), "kept")
     norm = options.get("normalise")
     norm = F.coalesce(norm if norm is not None else F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_own", F.sha2(norm, 256))
-    out = rows.join(decided, rows[id_col].cast("long").eqNullSafe(decided["_keep"]) & (rows["_own"] == decided["_sha"]))
+    rows = docs.select(whole_row(docs), F.col(id_col).cast("long").alias("_id"), F.sha2(norm, 256).alias("_own"))
+    out = rows.join(decided, rows["_id"].eqNullSafe(decided["_keep"]) & (rows["_own"] == decided["_sha"]))
     if not decided.where("_n > 1").isEmpty():
         out = out.dropDuplicates(["_keep", "_sha"])
-    return out.select(*(docs[c] for c in docs.columns))
+    return out.select("row.*")

@@ -260,7 +260,8 @@ def near_duplicates(
     first = nodes.select(F.col("id").alias("b")).join(own, "b", "left_semi")
     if not (twice.isEmpty() and first.isEmpty()):
         labels = components(links.select("a", "b").union(own))
-    out = owned.join(labels, "id", "left").select("doc_id", F.coalesce("label", "id").alias("class_id"))
+    label = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "id"))
+    out = owned.join(labels, "id", "left").select("doc_id", label.alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 

@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WORD, cut, utf8
+from strandline.llm.common import WORD, cut, utf8, whole_row
 
 #: Cells up to which their table is sent to all executors; beyond it is joined by exchange.
 BROADCAST_CELLS = 50_000
@@ -49,13 +49,14 @@ def _shares(cells: DataFrame, dim: str, target: Target) -> DataFrame:
             named = F.when(F.col(dim) == F.lit(value), F.lit(float(share))).otherwise(named)
         left = max(0.0, 1.0 - sum(target.values()))
         cells = cells.withColumn("_named", named)
-        values = cells.groupBy(dim).agg(F.first("_mass").alias("m"), F.first("_named").alias("s"))
-        unnamed = values.agg(F.sum(F.when(F.col("s").isNull(), F.col("m"))).alias("u"))
-        values = values.crossJoin(F.broadcast(unnamed)).select(dim, F.coalesce("s", F.lit(left) * F.col("m") / F.when(F.col("u") > 0, F.col("u"))).alias("s"))
+        values = cells.groupBy(dim).agg(F.first("_mass").alias("_m"), F.first("_named").alias("_s"))
+        unnamed = values.agg(F.sum(F.when(F.col("_s").isNull(), F.col("_m"))).alias("_u"))
+        values = values.crossJoin(F.broadcast(unnamed)).select(dim, F.coalesce("_s", F.lit(left) * F.col("_m") / F.when(F.col("_u") > 0, F.col("_u"))).alias("_s"))
     else:
-        values = cells.groupBy(dim).agg(F.pow(F.first("_mass"), F.lit(float(target))).alias("s"))
-    total = values.agg(F.sum("s").alias("all"))
-    values = values.crossJoin(F.broadcast(total)).select(dim, F.when(F.col("all") > 0, F.col("s") / F.col("all")).otherwise(0.0).alias(f"_t_{dim}"))
+        values = cells.groupBy(dim).agg(F.pow(F.first("_mass"), F.lit(float(target))).alias("_s"))
+    total = values.agg(F.sum("_s").alias("_all"))
+    # One row, of one number.
+    values = values.crossJoin(F.broadcast(total)).select(dim, F.when(F.col("_all") > 0, F.col("_s") / F.col("_all")).otherwise(0.0).alias(f"_t_{dim}"))
     return cells.drop("_mass", "_named").join(values, dim)
 
 
@@ -104,6 +105,7 @@ def mix(
 
 def sample(docs: DataFrame, dims: Mapping[str, Column], targets: Mapping[str, Target], **options) -> DataFrame:
     """The drawn rows with the columns of ``docs`` as they were."""
-    inner = {f"mix_{d}": c for d, c in dims.items()}
-    drawn = mix(docs, inner, {f"mix_{d}": t for d, t in targets.items()}, **options)
-    return drawn.where("sampled").select(*docs.columns)
+    id_col, text_col = options.pop("id_col", "doc_id"), options.pop("text_col", "text")
+    rows = docs.select(whole_row(docs), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(c.cast("string").alias(d) for d, c in dims.items()))
+    drawn = mix(rows, {d: F.col(d) for d in dims}, targets, **options)
+    return drawn.where("sampled").select("row.*")
