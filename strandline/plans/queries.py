@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions import context, metrics, prices, technical
 from strandline.operators import quality, scaling, splits
 from strandline.plans import dataset, experiment, search
+from strandline.session import ship
 from strandline.sources import panel
 from strandline.streaming.bars import event_bars as bars_of_events
 
@@ -303,6 +304,7 @@ def _plain(query: Query) -> Query:
     """Days as text, which engines show alike."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
+        ship(spark)
         out = query(spark, d)
         return out.withColumns({c: F.col(c).cast("string") for c, kind in out.dtypes if kind == "date"})
 
