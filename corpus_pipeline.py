@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from strandline.llm import exact, langid, minhash, mixing, packing
 from strandline.llm.common import scratch, whole_row
 from strandline.llm.queries import MIX_SWEEPS, MIX_TARGETS
+from strandline.session import shipped
 
 
+@shipped
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; texts without a letter go."""
     model = langid.fit(docs.select("doc_id", "text", "lang"))
@@ -19,22 +21,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
 
+@shipped
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text: that of the smallest id."""
     return exact.survivors(docs)
 
 
+@shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: that of the smallest id."""
     return minhash.representatives(docs)
 
 
+@shipped
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample that meets the target weights of sources, languages and topics."""
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.content_topic(F.col("text"))}
     return mixing.sample(docs, dims, MIX_TARGETS, sweeps=MIX_SWEEPS)
 
 
+@shipped
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids, with their place in the training sequences."""
     return packing.harmonic_pack(docs)
@@ -53,6 +59,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
+@shipped
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; each one's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import exact, langid, minhash, mixing, packing, pii, quality, sharding, substring, warc
 from strandline.llm.common import scratch
+from strandline.session import shipped
 
 #: Target shares of the registered mix: sources are tempered, the rest is named.
 MIX_TARGETS = {
@@ -188,7 +189,7 @@ SELECT page_id, CAST(strlen(b) AS BIGINT) AS payload_bytes,
 FROM m
 """
 
-QUERIES: dict[str, Query] = {
+_QUERIES: dict[str, Query] = {
     "op1_bootstrapped_pii": op1_bootstrapped_pii,
     "op2_warc_transactions": op2_warc_transactions,
     "op3_extendible_sharding": op3_extendible_sharding,
@@ -201,6 +202,8 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+QUERIES: dict[str, Query] = {name: shipped(f) for name, f in _QUERIES.items()}
+
 SQL: dict[str, str] = {
     "op2_warc_transactions": OP2_SQL,
     "op3_extendible_sharding": OP3_SQL,
