@@ -17,9 +17,15 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows and bytes of the batches that go to Python workers: long texts in batches of the
+#: default ten thousand rows would take hundreds of megabytes on either side.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's source once a Spark application."""
+    """Bound the batches of Python workers; send the package's source once a Spark application."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
