@@ -32,8 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     current = cut(edges.select("a", "b").distinct(), "links")
     while True:
         after = cut(_small_star(_large_star(current)), "links")
-        deep = after.select(F.col("a").alias("x")).join(after.select(F.col("b").alias("x")), "x", "left_semi")
-        many = after.groupBy("b").count().where("count > 1")
-        if deep.isEmpty() and many.isEmpty():
+        # Done when every node has one edge, and no node with one has nodes tied to it.
+        ends = after.select(F.col("b").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(after.select(F.col("a").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
             return after.select(F.col("b").alias("id"), F.col("a").alias("label"))
         current = after

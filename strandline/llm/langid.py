@@ -27,7 +27,7 @@ MAX_GRAMS = 20_000
 LONGEST_GRAM = 4
 
 #: Entries of a worker's memory of words.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 

@@ -9,9 +9,9 @@ are verified exactly on the whole texts.
 
 Copies of one text are one node.  Within a bucket no list of all pairs is made:
 every node is first verified against the smallest node it shares a bucket with;
-after that only nodes of different components are compared, by signature, in
-blocks, and the best untried pairs of each node and other component go to
-verification, few at first, until none is left.
+after that only nodes of different components are compared, by finer signatures, in
+blocks, and the best untried pairs of each node go to verification, few at
+first, then all that are left.
 """
 
 from __future__ import annotations
@@ -29,10 +29,11 @@ from strandline.llm.components import components
 
 #: Members of a bucket that are compared in one block.
 BLOCK = 4096
-#: Untried pairs of a node and another component that one block puts forward in the
-#: first round, and the factor by which later rounds put forward more: most links
-#: show at once, and the rest has to be gone through in few rounds.
-FEW, MORE = 2, 8
+#: Untried pairs that one block puts forward for a node in a round.  Links show at once;
+#: when less than half of a round's pairs are links, all that is left is put forward.
+FEW = 2
+#: Registers of the candidates' own, finer signatures.
+FINE = 1024
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,12 +105,18 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / (from_a[at] / wa[common] + until_b[at] / wb[common])).sum())
 
 
+def _eight_bits(table: np.ndarray) -> pa.Array:
+    """Signatures for comparison keep eight bits a register."""
+    small = np.ascontiguousarray((table ^ (table >> np.uint64(8)) ^ (table >> np.uint64(16))).astype(np.uint8))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(table.shape[1]), len(table), [None, pa.py_buffer(small)]).cast(pa.binary())
+
+
 def _signatures(k: int, registers: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     rows = registers // bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_slices(batch.column("text"), 1 << 22):
+            for first, end, data, offsets in text_slices(batch.column("text"), 1 << 21):
                 n = end - first
                 text, value, weight = shingles(Words(data, offsets), k)
                 table = prob_minhash(text, value, weight, n, registers)
@@ -119,13 +126,18 @@ def _signatures(k: int, registers: int, bands: int) -> Callable[[Iterator[pa.Rec
                     key = mix(key * np.uint64(0xD6E8FEB86659FD93) + parts[:, :, j])
                 some = np.zeros(n, dtype=bool)
                 some[text] = True
-                # Signatures for comparison keep eight bits a register.
-                small = np.ascontiguousarray((table ^ (table >> np.uint64(8)) ^ (table >> np.uint64(16))).astype(np.uint8))
-                signature = pa.FixedSizeBinaryArray.from_buffers(pa.binary(registers), n, [None, pa.py_buffer(small)]).cast(pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(key.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[first:end], batch.column("digest")[first:end], pa.array(some), signature, lists], names=["doc_id", "digest", "some", "signature", "bands"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:end], batch.column("digest")[first:end], pa.array(some), lists], names=["doc_id", "digest", "some", "bands"])
+
+    return run
+
+
+def _fine_signatures(k: int, registers: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in text_slices(batch.column("text"), 1 << 21):
+                table = prob_minhash(*shingles(Words(data, offsets), k), end - first, registers)
+                yield pa.RecordBatch.from_arrays([batch.column("id")[first:end], _eight_bits(table)], names=["id", "signature"])
 
     return run
 
@@ -170,7 +182,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.concat_tables(held)
 
 
-def _put_forward(least: float, few: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _put_forward(least: float, few: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Untried pairs of different components whose signatures agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,12 +203,8 @@ def _put_forward(least: float, few: int) -> Callable[[Iterator[pa.RecordBatch]],
                 at = np.flatnonzero(ok)
                 if not len(at):
                     continue
-                taken: dict[int, int] = {}
-                for j in at[np.lexsort((ids[at], -agree[at]))]:
-                    n = taken.get(labels[j], 0)
-                    if n < few:
-                        taken[labels[j]] = n + 1
-                        found.add((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                for j in at[np.lexsort((ids[at], -agree[at]))][:few]:
+                    found.add((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
             if found:
                 a, b = zip(*sorted(found), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -225,10 +233,10 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    signed = rows.mapInArrow(_signatures(shingle, registers, bands), "doc_id long, digest binary, some boolean, signature binary, bands array<long>")
+    signed = rows.mapInArrow(_signatures(shingle, registers, bands), "doc_id long, digest binary, some boolean, bands array<long>")
     signed = cut(signed, "signatures")
     # Copies are one node; equal texts have equal signatures.
-    nodes = signed.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("some").alias("some"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    nodes = signed.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("some").alias("some"), F.first("bands").alias("bands"))
     nodes = cut(nodes, "nodes")
     placed = nodes.where("some").select("id", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
@@ -237,24 +245,28 @@ def near_duplicates(
     wanted = nodes.join(wanted, "id", "left_semi").select("id", F.col("digest").alias("own"))
     texts = rows.join(wanted, rows["doc_id"] == wanted["id"]).where("digest = own").groupBy("id").agg(F.first("text").alias("text"))
     texts = cut(texts, "texts")
-    signatures = nodes.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("signature").alias("signature"))
-    signatures = cut(signatures, "candidates")
+    signatures = cut(texts.mapInArrow(_fine_signatures(shingle, FINE), "id long, signature binary"), "candidates")
 
     pairs = members.groupBy("id").agg(F.min("low").alias("a")).where("a < id").select("a", F.col("id").alias("b"))
     verified = _verified(pairs, texts, shingle)
     # Four and a half standard deviations below the threshold.
-    least = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / registers)
-    few = FEW
+    least = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / FINE)
+    links = verified.where(F.col("similarity") >= threshold)
+    labels, few = components(links), FEW
     while True:
-        links = verified.where(F.col("similarity") >= threshold)
-        labels = components(links)
         pairs = _cross_pairs(members, labels, signatures, verified, least, few)
-        if pairs.isEmpty():
+        if not (n_pairs := pairs.count()):
+            break
+        tried = _verified(pairs, texts, shingle)
+        verified = verified.unionByName(tried)
+        if n_links := tried.where(F.col("similarity") >= threshold).count():
+            links = verified.where(F.col("similarity") >= threshold)
+            labels = components(links)
+        if few is None:
             break
-        verified = verified.unionByName(_verified(pairs, texts, shingle))
-        few *= MORE
+        few = FEW if 2 * n_links > n_pairs else None
     # Rows of one id are one document, so an id may join the classes of two texts.
-    owned = signed.select("doc_id", "digest").join(nodes.select("digest", "id"), "digest", "left")
+    owned = cut(signed.select("doc_id", "digest").join(nodes.select("digest", "id"), "digest", "left").select("doc_id", "id"), "owned")
     own = owned.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     twice = own.groupBy("b").agg(F.countDistinct("a").alias("n")).where("n > 1").drop("n")
     first = nodes.select(F.col("id").alias("b")).join(own, "b", "left_semi")
@@ -271,7 +283,7 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", **options) -> Da
     return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_keep"]), "left_semi")
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame, verified: DataFrame, least: float, few: int) -> DataFrame:
+def _cross_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame, verified: DataFrame, least: float, few: int | None) -> DataFrame:
     """Pairs of different components in one bucket that still want verification."""
     spark = members.sparkSession
     labelled = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))

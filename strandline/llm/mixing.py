@@ -70,7 +70,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Target], *, sweeps: int) -> Dat
         for dim in targets:
             mass = F.sum("weight").over(Window.partitionBy(dim))
             out = out.withColumn("weight", F.when(mass > 0, F.col("weight") * F.col(f"_t_{dim}") / mass).otherwise(0.0))
-        if sweep % 5 == 4:
+        if sweep % 2:
             out = cut(out, "raked")
     return out.drop(*(f"_t_{dim}" for dim in targets))
 

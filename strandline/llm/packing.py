@@ -15,14 +15,15 @@ import re
 import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's memory of words; a full one starts anew.
-REMEMBERED = 800_000
+#: Entries of a worker's memory of words; a full one keeps its oldest third.
+REMEMBERED = 300_000
 
 _PACKED = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -90,7 +91,8 @@ class Encoder:
             run = [t or "" for t in texts[i : i + 64]]
             split = [self.split(t.lower()) if self.plain(t) else None for t in run]
             if len(self.parts) > REMEMBERED:
-                self.parts.clear()
+                # Common parts are met early, and dictionaries keep their order.
+                self.parts = dict(islice(self.parts.items(), REMEMBERED // 3))
             known = self.parts
             new = set().union(*(x for x in split if x)).difference(known)
             if new:
