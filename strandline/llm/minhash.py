@@ -194,6 +194,7 @@ def _put_forward(least: float, few: int | None) -> Callable[[Iterator[pa.RecordB
             table = np.stack([np.frombuffer(x, dtype=np.uint8) for x in group.column("signature").to_pylist()])
             tried = group.column("tried").to_pylist()
             minor = np.flatnonzero(np.asarray(group.column("minor")))
+            key, keys = group.column("key")[0].as_py(), [set(k) for k in group.column("keys").to_pylist()]
             found: set[tuple[int, int]] = set()
             for i in minor:
                 agree = (table == table[i]).mean(axis=1)
@@ -204,6 +205,8 @@ def _put_forward(least: float, few: int | None) -> Callable[[Iterator[pa.RecordB
                 if not len(at):
                     continue
                 for j in at[np.lexsort((ids[at], -agree[at]))][:few]:
+                    if few is None and min(keys[i] & keys[j]) != key:
+                        continue  # the pair comes from the first bucket it shares
                     found.add((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
             if found:
                 a, b = zip(*sorted(found), strict=True)
@@ -245,7 +248,8 @@ def near_duplicates(
     wanted = nodes.join(wanted, "id", "left_semi").select("id", F.col("digest").alias("own"))
     texts = rows.join(wanted, rows["doc_id"] == wanted["id"]).where("digest = own").groupBy("id").agg(F.first("text").alias("text"))
     texts = cut(texts, "texts")
-    signatures = cut(texts.mapInArrow(_fine_signatures(shingle, FINE), "id long, signature binary"), "candidates")
+    shared_keys = members.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    signatures = cut(texts.mapInArrow(_fine_signatures(shingle, FINE), "id long, signature binary").join(shared_keys, "id"), "candidates")
 
     pairs = members.groupBy("id").agg(F.min("low").alias("a")).where("a < id").select("a", F.col("id").alias("b"))
     verified = _verified(pairs, texts, shingle)
