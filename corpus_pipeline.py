@@ -15,10 +15,11 @@ from strandline.session import shipped
 
 @shipped
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts without a letter go."""
+    """Documents whose language can be told, which fills a null ``lang``; texts without a letter go."""
     model = langid.fit(docs.select("doc_id", "text", "lang"))
     told = langid.predict(docs.select(whole_row(docs), "text"), model, keep=("row",))
-    return told.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+    labelled = F.col("row").withField("lang", F.coalesce(F.col("row.lang"), F.col("lang_pred")))
+    return told.where(F.col("lang_pred") != langid.UNKNOWN).select(labelled.alias("row")).select("row.*")
 
 
 @shipped

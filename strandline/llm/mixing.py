@@ -19,6 +19,9 @@ from strandline.llm.common import WORD, cut, utf8, whole_row
 #: Cells up to which their table is sent to all executors; beyond it is joined by exchange.
 BROADCAST_CELLS = 50_000
 
+#: What a target leaves of 1 counts as nothing up to here (sums of decimal shares are not exact).
+NOTHING_LEFT = 1e-9
+
 #: A target: shares by value, or an exponent that tempers the natural shares.
 Target = Mapping[str, float] | float
 
@@ -39,7 +42,9 @@ def _shares(cells: DataFrame, dim: str, target: Target) -> DataFrame:
     """``cells`` with the target share of each cell's value of ``dim``.
 
     Values that the target does not name share what it leaves of 1 in
-    proportion to their tokens; shares of values that are absent go to the others.
+    proportion to their tokens; where it leaves nothing, they keep their natural
+    share and the named values divide the rest.  A value is left out by naming it
+    with 0.  Shares of values that are absent go to the others.
     """
     of = Window.partitionBy(dim)
     cells = cells.withColumn("_mass", F.sum("tokens").over(of).cast("double"))
@@ -50,8 +55,13 @@ def _shares(cells: DataFrame, dim: str, target: Target) -> DataFrame:
         left = max(0.0, 1.0 - sum(target.values()))
         cells = cells.withColumn("_named", named)
         values = cells.groupBy(dim).agg(F.first("_mass").alias("_m"), F.first("_named").alias("_s"))
-        unnamed = values.agg(F.sum(F.when(F.col("_s").isNull(), F.col("_m"))).alias("_u"))
-        values = values.crossJoin(F.broadcast(unnamed)).select(dim, F.coalesce("_s", F.lit(left) * F.col("_m") / F.when(F.col("_u") > 0, F.col("_u"))).alias("_s"))
+        is_unnamed = F.col("_s").isNull()
+        sums = values.agg(F.sum(F.when(is_unnamed, F.col("_m"))).alias("_u"), F.sum(F.when(~is_unnamed, F.col("_m"))).alias("_k"), F.sum("_s").alias("_n"))
+        if left > NOTHING_LEFT:
+            rest = F.lit(left) * F.col("_m") / F.when(F.col("_u") > 0, F.col("_u"))
+        else:
+            rest = F.when((F.col("_k") > 0) & (F.col("_n") > 0), F.col("_n") * F.col("_m") / F.col("_k")).otherwise(F.col("_m"))
+        values = values.crossJoin(F.broadcast(sums)).select(dim, F.coalesce("_s", rest).alias("_s"))
     else:
         values = cells.groupBy(dim).agg(F.pow(F.first("_mass"), F.lit(float(target))).alias("_s"))
     total = values.agg(F.sum("_s").alias("_all"))
