@@ -281,15 +281,18 @@ def panel_summary(spark, d):
 
 
 def gbt_predictions(spark, d):
+    """Boosted trees of every fold, as the operator's defaults have them, chosen on each fold's inner holdout."""
     from strandline.plans.models import BoostedTrees
 
-    roles = _roles(spark, d).where("fold_id = 0").persist()
-    train = roles.where("role = 'train' and status = 'kept'")
-    last = train.agg(F.max("session_date")).first()[0]
-    cut = F.date_sub(F.lit(last), 200)
-    model = BoostedTrees(n_estimators=5, max_depth=3)
-    model.fit(train.where(F.col("session_date") < cut), FEATURES, dataset.target_spec("target_return_1d"), train.where(F.col("session_date") >= cut))
-    return model.predict(roles.where("role = 'val' and status = 'kept'")).select(*KEYS, "y_pred")
+    spec = dataset.target_spec("target_return_1d")
+    kept = _roles(spark, d).where("status = 'kept'").select(*KEYS, *FEATURES, spec.name, "fold_id", "role").persist()
+    predicted = []
+    for (fold_id,) in sorted(kept.select("fold_id").distinct().collect()):
+        fold = kept.where(F.col("fold_id") == fold_id)
+        fit, held, _ = experiment.inner_holdout(fold.where("role = 'train'").drop("fold_id", "role"), spec)
+        model = BoostedTrees().fit(fit, FEATURES, spec, held)
+        predicted.append(model.predict(fold.where("role = 'val'")).select(*KEYS, "fold_id", "y_pred"))
+    return experiment.union_all(predicted)
 
 
 def search_trials(spark, d):
