@@ -49,7 +49,8 @@ class Encoder:
     The tokenizer lower-cases, splits by its pattern and encodes each part for
     itself, so parts met before are looked up and new ones are encoded together.
     This holds for texts of Latin letters (which are in normal form as they
-    are); any other text goes to the tokenizer whole.
+    are) without an added token, such as an end mark written out; any other text
+    goes to the tokenizer whole.
     """
 
     LATIN = 0x250
@@ -59,7 +60,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -89,7 +90,7 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         for i in range(0, len(texts), 64):
             run = [t or "" for t in texts[i : i + 64]]
-            split = [self.split(t.lower()) if self.plain(t) else None for t in run]
+            split = [self.split(low) if self.plain(t) and not any(a in low for a in self.added) else None for t, low in ((t, t.lower()) for t in run)]
             if len(self.parts) > REMEMBERED:
                 # Common parts are met early, and dictionaries keep their order.
                 self.parts = dict(islice(self.parts.items(), REMEMBERED // 3))

@@ -1,11 +1,12 @@
 """What an operator must not leave out."""
 
 import collections
+import zlib
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import mixing, queries
+from strandline.llm import mixing, packing, queries
 from tests.llm.fixtures import prose
 
 
@@ -44,3 +45,19 @@ def test_pipeline_fills_a_null_language_and_keeps_unnamed_ones(spark, sf_dir):
     want = {r["doc_id"]: r["lang"] for r in docs.collect()}
     assert len(by_id) == len(want) and all(want[i] in (None, lang) and lang for i, lang in by_id.items())
     assert "it" in {r["lang"] for r in corpus_pipeline.mix(spark, told, sf_dir).collect()}
+
+
+def test_packing_encodes_added_tokens_as_the_tokenizer_does(spark, tmp_path):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a <|endoftext|> b", "<|startoftext|>stone's river<|endoftext|>", "<|ENDOFTEXT|> x", "<| endoftext |>", "plain 12 words", "日本 <|endoftext|>"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [320, 49407, 321]
+    assert [np.frombuffer(raw, dtype="<u4").tolist() for raw in packing.encoder("word_bpe_49k.json")(texts)] == want
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op5_harmonic_packing(spark, str(tmp_path)).collect():
+        ids = [*want[r["doc_id"]], 2]
+        assert (r["length"], r["doc_tokens"], r["ids_crc32"]) == (len(ids), len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
