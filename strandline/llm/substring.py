@@ -1,4 +1,5 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by anchored windows, which replace the greedy
+relative Lempel-Ziv parse.
 
 The reference is the corpus itself, read in order of (id, place), and indexed
 by anchors: of the word 4-grams inside each window of ``window`` words, the one
