@@ -41,7 +41,7 @@ def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.payload_facts(warc.assemble(warc.read_records(spark, path)))
+    return warc.payload_facts(warc.assemble(warc.without_payloads(warc.read_records(spark, path))))
 
 
 def op4_proportional_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

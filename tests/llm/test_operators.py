@@ -128,6 +128,37 @@ def test_broken_archives_are_refused():
         list(warc.parse(b"nothing"))
 
 
+def test_rows_without_an_own_id_stay_apart(spark, tmp_path):
+    rows = [(1, "a", "one"), (1, "a", "two"), (None, "b", "three"), (None, None, None), (None, "c", "one"), (5, "d", "four"), (5, "d", "four"), (5, "d", "four"), (4, "e", "four")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(frame, str(tmp_path / "w"))
+    records = warc.read_records(spark, str(tmp_path / "w"))
+    for told in (records, warc.without_payloads(records)):
+        got = warc.payload_facts(warc.assemble(told)).collect()
+        assert sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == sorted(
+            [("1", 3, "response", None), ("1", 3, "response", None), ("None", 5, "response", None), ("None", 0, "response", None), ("None", 3, "revisit", 1)]
+            + [("5", 4, "response", None)] * 3
+            + [("4", 4, "revisit", 5)]
+        )
+        assert {r["payload_digest"] for r in got} == {warc.digest_of((r[2] or "").encode()) for r in rows}
+
+
+def test_framing_is_exact_whatever_blocks_hold():
+    rng = random.Random(8)
+    for _ in range(300):
+        blocks = ["".join(rng.choice(["\r", "\n", "\r\n", "a", "WARC/1.1\r\n", "\r\n\r\n"]) for _ in range(rng.randint(0, 9))).encode() for _ in range(5)]
+        data = b"".join(b"WARC/1.1\r\nX: y\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (len(b), b) for b in blocks)
+        assert [b for _, b in warc.parse(data)] == blocks
+
+
+def test_very_long_payloads(spark, tmp_path):
+    frame = spark.range(2).selectExpr("id as page_id", "'u' as url", "if(id = 0, repeat('0123456789', int(20000000 + id)), 'short') as html")
+    warc.write_archives(frame, str(tmp_path / "w"))
+    got = warc.payload_facts(warc.assemble(warc.without_payloads(warc.read_records(spark, str(tmp_path / "w"))))).collect()
+    assert {(r["page_id"], r["payload_bytes"]) for r in got} == {(0, 200_000_000), (1, 5)}
+    assert {r["payload_digest"] for r in got if r["page_id"] == 0} == {warc.digest_of(b"0123456789" * 20_000_000)}
+
+
 # ------------------------------------------------------------------ op3
 
 
