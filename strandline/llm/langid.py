@@ -9,73 +9,116 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 
-#: Labelled documents that the fit takes at most, and words it keeps a language.
-#: Both bound the model, whatever the corpus.
+#: Labelled documents that the fit takes at most (about), and the size of its tables: words,
+#: and n-grams of each length, in all languages together.  They bound the model, whatever the corpus.
 MAX_TRAIN_DOCS = 20_000
-MAX_WORDS = 30_000
-MAX_GRAMS = 20_000
+MAX_WORDS = 120_000
+MAX_GRAMS = 80_000
 LONGEST_GRAM = 4
 
 #: Entries of a worker's memory of words.
 REMEMBERED = 200_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Added to every count.
+SMOOTHING = 0.5
+
+
+@lru_cache
+def letter_runs() -> re.Pattern:
+    """Runs of letters (Unicode category L): ``\\w`` also takes digits and other numbers, such as ² or Ⅷ."""
+    numbers = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[^\W\d_{numbers}]+")
 
 
 @dataclass(frozen=True)
-class Model:
-    """Log frequencies by language (columns in the order of ``langs``)."""
+class Table:
+    """Counts of items by language, as (language, count, language, count, ...) where
+    they are not 0, and the log frequency of an item that a language does not have."""
+
+    counts: dict[str, tuple[int, ...]]
+    unseen: np.ndarray
 
+    def score(self, item: str) -> np.ndarray | None:
+        """Log frequencies of a known item: log((n + s) / d) is log(s / d) + log((n + s) / s)."""
+        if (pairs := self.counts.get(item)) is None:
+            return None
+        out = self.unseen.copy()
+        for lang, n in zip(pairs[::2], pairs[1::2], strict=True):
+            out[lang] += math.log((n + SMOOTHING) / SMOOTHING)
+        return out
+
+
+@dataclass(frozen=True)
+class Model:
     langs: tuple[str, ...]
-    words: dict[str, tuple[float, ...]]
-    grams: tuple[dict[str, tuple[float, ...]], ...]  # of 1, 2, ... letters
-    floor: tuple[float, ...]
+    words: Table
+    grams: tuple[Table, ...]  # of 1, 2, ... letters
 
     def word(self, w: str) -> np.ndarray:
-        if (known := self.words.get(w)) is not None:
-            return np.array(known)
+        """A known word's log frequencies; else the mean of its n-grams', each as long as the
+        tables know it, the next one starting at the last letter of one of several letters."""
+        if (known := self.words.score(w)) is not None:
+            return known
         total, n, i = np.zeros(len(self.langs)), 0, 0
         marked = f" {w} "
         while i < len(marked):
             for size in range(min(len(self.grams), len(marked) - i), 0, -1):
-                if (g := self.grams[size - 1].get(marked[i : i + size])) is not None:
-                    total += g
+                if (known := self.grams[size - 1].score(marked[i : i + size])) is not None:
+                    total += known
                     i += max(1, size - 1)
                     break
             else:
-                total += self.floor
+                total += np.minimum.reduce([g.unseen for g in self.grams])
                 i += 1
             n += 1
         return total / max(1, n)
 
 
-def _counts(rows: DataFrame, most: int) -> dict[str, dict[str, int]]:
-    """The ``most`` commonest items of each language; ties go to the smaller item."""
-    from pyspark.sql import Window
+def _table(rows: DataFrame, langs: tuple[str, ...], most: int) -> Table:
+    """Counts of the items among the ``most`` / languages commonest of any language (ties go to
+    the smaller item).  A kept item keeps its count in every language, and log frequencies are
+    over all items, kept or not."""
+    counted = rows.groupBy("lang", "item").agg(F.sum("n").alias("n")).persist()
+    try:
+        totals = {r[0]: r[1] for r in counted.groupBy("lang").agg(F.sum("n")).collect()}
+        order = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
+        top = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, most // len(langs))).select("item").distinct()
+        place, counts = {x: i for i, x in enumerate(langs)}, {}
+        for lang, item, n in counted.join(top, "item", "left_semi").select("lang", "item", "n").toLocalIterator():
+            counts.setdefault(item, []).append((place[lang], n))
+    finally:
+        counted.unpersist()
+    counts = {item: tuple(x for pair in sorted(pairs) for x in pair) for item, pairs in counts.items()}
+    size = max(1, len(counts))
+    return Table(counts, np.array([math.log(SMOOTHING / (totals.get(x, 0) + SMOOTHING * size)) for x in langs]))
+
 
-    ranked = rows.groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
-    top = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
-    out: dict[str, dict[str, int]] = {}
-    for lang, item, n in top.select("lang", "item", "n").toLocalIterator():
-        out.setdefault(item, {})[lang] = n
+def shares(sizes: dict[str, int], most: int) -> dict[str, float]:
+    """The share of each language's rows that makes ``most`` in all: as even a number of each as
+    there are, so that a small language is taken whole."""
+    out, left = {}, most
+    for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        taken = min(n, left / (len(sizes) - i))
+        out[lang] = taken / n
+        left -= taken
     return out
 
 
-def _table(counts: dict[str, dict[str, int]], langs: tuple[str, ...]) -> dict[str, tuple[float, ...]]:
-    size = max(1, len(counts))
-    totals = [sum(c.get(x, 0) for c in counts.values()) for x in langs]
-    return {item: tuple(math.log((c.get(x, 0) + 0.5) / (t + 0.5 * size)) for x, t in zip(langs, totals, strict=True)) for item, c in counts.items()}
+def threshold(share: float) -> int:
+    """The bound that a share of all 64-bit hashes does not exceed, above the least hash for any share."""
+    return -(1 << 63) + max(1, int(share * 2**64))
 
 
 def fit(
@@ -93,32 +136,36 @@ def fit(
     """Learn from the labelled rows of ``docs``, whole texts.
 
     Of more than ``max_train_docs`` labelled rows, about that many are taken by
-    a hash of the id.  Rows without label, text or letters teach nothing.  The
-    model is bounded by ``max_langs`` languages (beyond them the fit refuses)
-    times ``max_words`` words and ``max_grams`` n-grams of each length.
+    a hash of the id, evenly of all languages: of a language with fewer rows than
+    its part, all.  Rows without label, text or letters teach nothing.  The model
+    is bounded by ``max_langs`` languages (beyond them the fit refuses) and by
+    ``max_words`` words and ``max_grams`` n-grams of each length, the commonest.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = min(1.0, max_train_docs / max(1, rows.count()))
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(share * 1_000_000))
+    lang = F.col(lang_col).cast("string")
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang.alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(max_langs + 1).collect()}
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
+    parts = {x: s for x, s in shares(sizes, max_train_docs).items() if s < 1}
+    if parts:
+        bound = F.create_map(*(y for x, s in parts.items() for y in (F.lit(x), F.lit(threshold(s)))))
+        bound = F.coalesce(F.element_at(bound, F.col("lang")), F.lit((1 << 63) - 1))
+        rows = rows.where(F.xxhash64("id") <= bound)
     # Letters run on as in the prediction's pattern; counts are combined before they move.
-    tokens = F.explode(F.split(F.lower(text_col), r"[^\p{L}]+"))
-    words = rows.select(F.col(lang_col).cast("string").alias("lang"), tokens.alias("item")).where("item <> ''").groupBy("lang", "item").agg(F.count("*").alias("n")).persist()
+    tokens = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
+    words = rows.select("lang", tokens.alias("item")).where("item <> ''").groupBy("lang", "item").agg(F.count("*").alias("n")).persist()
     try:
-        langs = tuple(sorted(r[0] for r in words.select("lang").distinct().limit(max_langs + 1).collect()))
-        if len(langs) > max_langs:
-            raise ValueError(f"more than {max_langs} languages")
+        langs = tuple(sorted(r[0] for r in words.select("lang").distinct().collect()))
         if not langs:
-            return Model((), {}, (), ())
+            return Model((), Table({}, np.zeros(0)), ())
         tables = []
         for size in range(1, longest_gram + 1):
             marked = F.concat(F.lit(" "), F.col("item"), F.lit(" "))
             placed = words.withColumn("marked", marked).where(F.length("marked") >= size)
             placed = placed.select("lang", "marked", "n", F.explode(F.expr(f"sequence(1, length(marked) - {size - 1})")).alias("at"))
             grams = placed.select("lang", F.expr(f"substring(marked, at, {size})").alias("item"), "n")
-            tables.append(_table(_counts(grams, max_grams), langs))
-        floor = tuple(min(v[i] for t in tables for v in t.values()) for i in range(len(langs)))
-        return Model(langs, _table(_counts(words, max_words), langs), tuple(tables), floor)
+            tables.append(_table(grams, langs, max_grams))
+        return Model(langs, _table(words, langs, max_words), tuple(tables))
     finally:
         words.unpersist()
 
@@ -126,7 +173,7 @@ def fit(
 def _predictor(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        langs = model.langs
+        langs, letters = model.langs, letter_runs()
         seen: dict[str, int] = {}
         vectors = np.empty((1024, len(langs)))
 
@@ -141,7 +188,7 @@ def _predictor(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for batch in batches:
             predicted, scores = [], []
             for text in batch.column("_text"):
-                words = _LETTERS.findall((text.as_py() or "").lower())
+                words = letters.findall((text.as_py() or "").lower())
                 if not words or not langs:
                     predicted.append(UNKNOWN)
                     scores.append(0.0)
@@ -165,9 +212,10 @@ def _predictor(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with lang_pred and score (0 to 1).
 
-    A text that is null or has no letter gets ``und`` and 0.  Equal scores go to
-    the language first in the alphabet.  The model learned from nothing says
-    ``und`` of everything.  Texts are read whole, row by row.
+    A text that is null or has no letter (Unicode category L) gets ``und`` and 0.
+    Equal scores go to the language first in the alphabet.  The model learned
+    from nothing says ``und`` of everything.  Texts are read whole, row by row.
+    The model goes to every worker; the bounds of its fit are bounds of its size.
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("_text"))
