@@ -3,7 +3,7 @@
 A piece of length l belongs to class k = capacity // l, and a bin of class k
 takes k pieces, no more and no fewer.  A document is cut so that each piece
 nearly fills its share (within ``slack``): full sequences first, then the
-largest reciprocal share below what is left, and so on.  Classes are filled
+largest reciprocal share below what is left, and so on, without slivers.  Classes are filled
 per partition, without any exchange; what stands in unfinished bins when a
 partition ends is packed best-fit, so a partition wastes about one sequence.
 """
@@ -28,16 +28,34 @@ REMEMBERED = 300_000
 _PACKED = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def pieces(length: int, capacity: int, slack: float) -> list[tuple[int, int]]:
-    """Piece lengths of a document, in order, each with its class."""
-    out = [(capacity, 1)] * (length // capacity)
-    rest = length % capacity
+def pieces(length: int, capacity: int, slack: float, least: int = 1) -> list[tuple[int, int]]:
+    """Piece lengths of a document, in order, each with its class.
+
+    A piece fills its share to at least 1 - ``slack``.  None is shorter than
+    ``least``, but for a document or a capacity that is shorter itself: where a cut
+    would leave less, it is moved forward, or a smaller share is cut instead.
+    """
+    out, rest = [(capacity, 1)] * (length // capacity), length % capacity
+    if out and 0 < rest < least:
+        if capacity - (least - rest) >= (1 - slack) * capacity:
+            out[-1], rest = (capacity - (least - rest), 1), least
+        else:
+            out.pop()
+            rest += capacity
     while rest:
         k = capacity // rest
-        if rest * k >= (1 - slack) * capacity:
+        if rest * k >= (1 - slack) * capacity or rest <= least:
             out.append((rest, k))
             break
-        share = capacity // (k + 1)
+        j = k + 1
+        while True:
+            share = capacity // j
+            if rest - share < least:
+                share = min(share, rest - least)
+            if share >= (1 - slack) * capacity / j or share <= least:
+                break
+            j += 1
+        share = max(share, min(least, rest))
         out.append((share, capacity // share))
         rest -= share
     return out
@@ -90,7 +108,8 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         for i in range(0, len(texts), 64):
             run = [t or "" for t in texts[i : i + 64]]
-            split = [self.split(low) if self.plain(t) and not any(a in low for a in self.added) else None for t, low in ((t, t.lower()) for t in run)]
+            # Some capitals have their small letter outside the Latin range, so both forms are tested.
+            split = [self.split(low) if self.plain(t) and self.plain(low) and not any(a in low for a in self.added) else None for t, low in ((t, t.lower()) for t in run)]
             if len(self.parts) > REMEMBERED:
                 # Common parts are met early, and dictionaries keep their order.
                 self.parts = dict(islice(self.parts.items(), REMEMBERED // 3))
@@ -117,7 +136,7 @@ def encoder(tokenizer: str) -> Encoder:
     return _encoders[tokenizer]
 
 
-def _packer(capacity: int, tokenizer: str, end_id: int, slack: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packer(capacity: int, tokenizer: str, end_id: int, slack: float, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -154,7 +173,7 @@ def _packer(capacity: int, tokenizer: str, end_id: int, slack: float) -> Callabl
                 for doc, ids in zip(docs, encode(texts[at : at + 256].to_pylist()), strict=True):
                     ids += end
                     total, start = len(ids) // 4, 0
-                    for length, k in pieces(total, capacity, slack):
+                    for length, k in pieces(total, capacity, slack, least):
                         members = open_bins.setdefault(k, [])
                         members.append((doc, start, length, ids[4 * start : 4 * (start + length)], total))
                         start += length
@@ -186,13 +205,14 @@ def _packer(capacity: int, tokenizer: str, end_id: int, slack: float) -> Callabl
     return run
 
 
-def harmonic_pack(docs: DataFrame, *, capacity: int = 4096, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, slack: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def harmonic_pack(docs: DataFrame, *, capacity: int = 4096, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, slack: float = 0.02, least_piece: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
-    A null or empty text is one token, the end id.  Repeated rows are packed
-    each for itself.  An empty table gives no rows; other columns are ignored.
+    A null or empty text is one token, the end id.  A piece fills its class's share
+    to 1 - ``slack``, and has ``least_piece`` tokens or its whole document.  Repeated rows
+    are packed each for itself.  An empty table gives no rows; other columns are ignored.
     """
-    if capacity < 1 or not 0 <= slack < 1:
-        raise ValueError("capacity is at least 1 and slack in [0, 1)")
+    if capacity < 1 or not 0 <= slack < 1 or not 1 <= least_piece <= max(1, capacity // 8):
+        raise ValueError("capacity is at least 1, slack in [0, 1), the least piece at most an eighth of the capacity")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_packer(capacity, tokenizer, end_id, slack), _PACKED)
+    return rows.mapInArrow(_packer(capacity, tokenizer, end_id, slack, least_piece), _PACKED)

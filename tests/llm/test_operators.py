@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from strandline.llm import exact, langid, minhash, mixing, packing, pii, quality, queries, sharding, substring, warc
@@ -217,7 +218,6 @@ def test_packing_is_an_exact_cut_with_little_padding(spark, sf_dir):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in out:
         by_doc[r["doc_id"]].append(r)
@@ -244,6 +244,29 @@ def test_pieces_fill_their_class(n):
     assert all(x * k > 0.97 * 4096 for x, k in got if k < 64)
 
 
+def test_no_slivers():
+    for n in range(1, 3 * 4096):
+        got = packing.pieces(n, 4096, 0.02, 32)
+        assert sum(x for x, _ in got) == n and all(0.97 * 4096 < x * k <= 4096 for x, k in got if k < 64) and min(x for x, _ in got) >= min(n, 32)
+
+
+def test_ids_are_the_tokenizers_own():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, rng = Tokenizer.from_file(path), random.Random(9)
+    letters = [chr(i) for i in range(0x20, 0x250)]
+    capitals = [c for c in letters if any(x > "\u024f" for x in c.lower())]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    texts += ["".join(rng.choice([*capitals, "a", " ", "B", "1", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", "\u0301", "\u65e5"]) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    texts += [*capitals, "", "a <|endoftext|> b", "x <|startoftext|>"]
+    assert len(capitals) > 20
+    for text, ids in zip(texts, packing.Encoder(path)(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_crc_of_a_piece(spark, tables):
     got = queries.op5_harmonic_packing(spark, tables).where("doc_id = 5").first()
     assert got["ids_crc32"] == zlib.crc32((2).to_bytes(4, "little")) and got["doc_tokens"] == 1
@@ -427,6 +450,72 @@ def test_backoff_and_texts_without_letters(spark, docs):
     assert {r["lang_pred"] for r in langid.predict(asked, nothing).collect()} == {"und"}
 
 
+def test_numbers_are_no_letters(spark, tables):
+    model = langid.fit(spark.read.parquet(f"{tables}/documents.parquet"))
+    asked = spark.createDataFrame([(1, "\u00b2\u00bd\u2167"), (2, "\u0663 \u2460 _ 7"), (3, "\u00b2the river\u2167")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(asked, model).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] == "en" and got[3][1] > 0
+
+
+def brute_language(learned, asked, longest=4):
+    """Predictions from plain counters, by the formulas of the docstrings."""
+    langs = sorted({x for _, x in learned})
+    words = {x: collections.Counter() for x in langs}
+    for text, x in learned:
+        words[x].update(regex.findall(r"\p{L}+", text.lower()))
+
+    def table(counts):
+        items = set().union(*counts.values())
+        return items, lambda i: np.array([np.log((counts[x][i] + 0.5) / (sum(counts[x].values()) + 0.5 * len(items))) for x in langs])
+
+    grams = []
+    for size in range(1, longest + 1):
+        counts = {x: collections.Counter() for x in langs}
+        for x in langs:
+            for w, n in words[x].items():
+                for i in range(len(w) + 2 - size + 1):
+                    counts[x][f" {w} "[i : i + size]] += n
+        grams.append(table(counts))
+    known, score = table(words)
+
+    def of(w):
+        if w in known:
+            return score(w)
+        marked, i, parts = f" {w} ", 0, []
+        while i < len(marked):
+            size = next((k for k in range(longest, 0, -1) if marked[i : i + k] in grams[k - 1][0] and i + k <= len(marked)), 0)
+            parts.append(grams[size - 1][1](marked[i : i + size]) if size else np.min([g[1]("\0") for g in grams], axis=0))
+            i += max(1, size - 1)
+        return np.mean(parts, axis=0)
+
+    for text in asked:
+        ws = regex.findall(r"\p{L}+", (text or "").lower())
+        if not ws:
+            yield "und", 0.0
+            continue
+        total = np.sum([of(w) for w in ws], axis=0) / np.sqrt(len(ws))
+        p = np.exp(total - total.max())
+        yield langs[int(np.argmax(total))], p.max() / p.sum()
+
+
+def test_predictions_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").where("length(text) < 4000").orderBy("doc_id").limit(240).collect()
+    learned, asked = docs[:40], [*docs, (9001, None, None), (9002, "Xyzzy \u0416\u0416 qu\u00e4k", None), (9003, "\u00b2 7", None)]
+    model = langid.fit(spark.createDataFrame([tuple(r) for r in learned], "doc_id long, text string, lang string"))
+    frame = spark.createDataFrame([(r[0], r[1]) for r in asked], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.predict(frame, model).collect()}
+    for r, (lang, score) in zip(asked, brute_language([(r["text"], r["lang"]) for r in learned if r["lang"] and r["text"]], [r[1] for r in asked]), strict=True):
+        assert got[r[0]]["lang_pred"] == lang and abs(got[r[0]]["score"] - score) < 1e-9
+
+
+def test_samples_are_even_and_never_empty(spark):
+    assert langid.shares({"a": 10, "b": 10**9}, 1000) == {"a": 1.0, "b": 990 / 10**9}
+    assert langid.threshold(1e-30) > langid.threshold(0) - 1 >= -(2**63) and langid.threshold(1e-9) > -(2**63) + 10**10
+    rows = [(i, "the water", "en") for i in range(300)] + [(900, "das wasser", "de")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_train_docs=20)
+    assert model.langs == ("de", "en") and 2 <= model.words.counts["the"][1] <= 60 and model.words.counts["das"] == (0, 1)
+
+
 def test_the_hash_of_held_out_rows(spark):
     rows = spark.range(200).withColumnRenamed("id", "doc_id").withColumn("h", langid.held_out()).collect()
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
