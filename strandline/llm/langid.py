@@ -35,11 +35,26 @@ REMEMBERED = 200_000
 SMOOTHING = 0.5
 
 
+_ALPHANUMERIC = re.compile(r"[^\W\d_]+")
+
+
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
 @lru_cache
-def letter_runs() -> re.Pattern:
-    """Runs of letters (Unicode category L): ``\\w`` also takes digits and other numbers, such as ² or Ⅷ."""
-    numbers = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[^\W\d_{numbers}]+")
+def _numbers(first: int, last: int) -> re.Pattern:
+    """Characters such as \u00b2 or \u2167 that ``\\w`` takes and that are neither digits nor letters."""
+    return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(first, last + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters (Unicode category L)."""
+    if not text.isascii():
+        # Sets of characters of two bytes are looked up in a table; others are searched through, where there are any.
+        text = _numbers(0, 0xFFFF).sub(" ", text)
+        if _ASTRAL.search(text):
+            text = _numbers(0x10000, sys.maxunicode).sub(" ", text)
+    return _ALPHANUMERIC.findall(text)
 
 
 @dataclass(frozen=True)
@@ -173,7 +188,7 @@ def fit(
 def _predictor(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        langs, letters = model.langs, letter_runs()
+        langs = model.langs
         seen: dict[str, int] = {}
         vectors = np.empty((1024, len(langs)))
 
@@ -188,7 +203,7 @@ def _predictor(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for batch in batches:
             predicted, scores = [], []
             for text in batch.column("_text"):
-                words = letters.findall((text.as_py() or "").lower())
+                words = letter_runs((text.as_py() or "").lower())
                 if not words or not langs:
                     predicted.append(UNKNOWN)
                     scores.append(0.0)
