@@ -312,6 +312,43 @@ def test_repeats_equal_brute_force_on_shuffled_passages(spark):
         substring.parse_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=3)
 
 
+def test_factors_are_copies_of_their_sources(spark):
+    rng = random.Random(12)
+    passages = [prose(3000 + i, rng.randint(20, 60)).split() for i in range(5)]
+    rows = []
+    for i in range(60):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += list(rng.choice(passages)) if rng.random() < 0.7 else prose(rng.randint(0, 10**6), rng.randint(1, 30)).split()
+        if rng.random() < 0.4:
+            words[rng.randrange(len(words))] = "edit"
+        rows.append((i, words))
+    got = substring.parse_repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(7)).collect()
+    texts, n = dict(rows), 0
+    for r in got:
+        own, covered = texts[r["doc_id"]], set()
+        for f in r["factors"]:
+            n += 1
+            a, b, source = f["start"], f["start"] + f["length"], texts[f["source"]]
+            assert f["length"] >= 20 and (f["source"], f["place"]) < (r["doc_id"], a)
+            assert own[a:b] == source[f["place"] : f["place"] + f["length"]]
+            covered |= set(range(a, b))
+        assert covered == {j for s in r["spans"] for j in range(s["start"], s["end"])}
+        # A factor goes on as far as its source does, but where another one has an earlier source.
+        for f, g in zip(r["factors"], r["factors"][1:], strict=False):
+            assert (f["source"], f["place"] - f["start"]) != (g["source"], g["place"] - g["start"]) or g["start"] > f["start"] + f["length"]
+    assert n > 60
+
+
+def test_texts_without_an_id_repeat_within_themselves(spark):
+    one, two = prose(4001, 30), prose(4002, 30)
+    edited = " ".join("edit" if i == 4 else w for i, w in enumerate(one.split()))
+    text = " ".join([one, two, edited, two])
+    got = substring.parse_repeats(spark.createDataFrame([(None, text), (7, one), (7, two), (7, one), (None, one)], "doc_id long, text string")).collect()
+    gone = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in got}
+    assert gone == {(None, 120): brute_repeats([(0, text)], 20)[0][1], (7, 30): 0, (None, 30): 0}
+
+
 # ------------------------------------------------------------------ op7
 
 
