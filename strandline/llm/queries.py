@@ -35,7 +35,7 @@ def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extract(table(spark, sf_dir, "documents"))
-    return found.withColumn("n_found", F.size("found").cast("long")).drop("base", "found")
+    return found.withColumns({"n_found": F.size("found").cast("long"), "n_spans": (F.size("base") + F.size("found")).cast("long")}).drop("base", "found")
 
 
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
