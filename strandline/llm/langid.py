@@ -13,6 +13,7 @@ import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ MAX_WORDS = 120_000
 MAX_GRAMS = 80_000
 LONGEST_GRAM = 4
 
-#: Entries of a worker's memory of words.
-REMEMBERED = 200_000
+#: Words, and numbers of their vectors, in a worker's memory at most; n-grams' vectors have as many again.
+REMEMBERED, NUMBERS = 200_000, 2_000_000
 
 #: Added to every count.
 SMOOTHING = 0.5
@@ -81,21 +82,36 @@ class Model:
     words: Table
     grams: tuple[Table, ...]  # of 1, 2, ... letters
 
+
+class Scorer:
+    """Log frequencies of words, with a bounded memory of those of n-grams."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.room = NUMBERS // max(1, len(model.langs))
+        self.met: dict[str, np.ndarray] = {}
+        self.unknown = np.minimum.reduce([g.unseen for g in model.grams]) if model.grams else np.zeros(0)
+
+    def gram(self, g: str) -> np.ndarray | None:
+        if (known := self.met.get(g)) is None and (known := self.model.grams[len(g) - 1].score(g)) is not None and len(self.met) < self.room:
+            self.met[g] = known
+        return known
+
     def word(self, w: str) -> np.ndarray:
         """A known word's log frequencies; else the mean of its n-grams', each as long as the
         tables know it, the next one starting at the last letter of one of several letters."""
-        if (known := self.words.score(w)) is not None:
+        if (known := self.model.words.score(w)) is not None:
             return known
-        total, n, i = np.zeros(len(self.langs)), 0, 0
-        marked = f" {w} "
+        total, n, i = np.zeros(len(self.model.langs)), 0, 0
+        marked, longest = f" {w} ", len(self.model.grams)
         while i < len(marked):
-            for size in range(min(len(self.grams), len(marked) - i), 0, -1):
-                if (known := self.grams[size - 1].score(marked[i : i + size])) is not None:
+            for size in range(min(longest, len(marked) - i), 0, -1):
+                if (known := self.gram(marked[i : i + size])) is not None:
                     total += known
                     i += max(1, size - 1)
                     break
             else:
-                total += np.minimum.reduce([g.unseen for g in self.grams])
+                total += self.unknown
                 i += 1
             n += 1
         return total / max(1, n)
@@ -111,7 +127,8 @@ def _table(rows: DataFrame, langs: tuple[str, ...], most: int) -> Table:
         order = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
         top = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, most // len(langs))).select("item").distinct()
         place, counts = {x: i for i, x in enumerate(langs)}, {}
-        for lang, item, n in counted.join(top, "item", "left_semi").select("lang", "item", "n").toLocalIterator():
+        # A bounded table, in few parts as each is a job.
+        for lang, item, n in counted.join(top, "item", "left_semi").select("lang", "item", "n").coalesce(4).toLocalIterator():
             counts.setdefault(item, []).append((place[lang], n))
     finally:
         counted.unpersist()
@@ -188,7 +205,8 @@ def fit(
 def _predictor(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        langs = model.langs
+        langs, scorer = model.langs, Scorer(model)
+        most = max(1, min(REMEMBERED, NUMBERS // max(1, len(langs))))
         seen: dict[str, int] = {}
         vectors = np.empty((1024, len(langs)))
 
@@ -197,7 +215,7 @@ def _predictor(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             if len(seen) == len(vectors):
                 vectors = np.concatenate([vectors, np.empty_like(vectors)])
             seen[w] = len(seen)
-            vectors[len(seen) - 1] = model.word(w)
+            vectors[len(seen) - 1] = scorer.word(w)
             return len(seen) - 1
 
         for batch in batches:
@@ -208,8 +226,9 @@ def _predictor(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                     predicted.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                if len(seen) > REMEMBERED:
-                    seen.clear()
+                if len(seen) > most:
+                    # Common words are met early, and dictionaries keep their order.
+                    seen = dict(islice(seen.items(), most // 3))
                 at = [seen[w] if w in seen else index(w) for w in words]
                 total = vectors[at].sum(axis=0)
                 # The posterior, tempered so that long texts are not all 1.0.
