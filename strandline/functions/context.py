@@ -71,14 +71,18 @@ def market_context(panel: DataFrame, *, market_index: DataFrame) -> DataFrame:
     out = out.withColumns({f"market_regime_{k}": F.coalesce(f"market_regime_{k}", F.lit(0.0)) for k in ("trend", "volatility")})
     out = out.withColumns({f"stock_vs_market_return_{n}d": F.col(f"stock_return_{n}d_context") - F.col(f"market_return_{n}d") for n in SPANS})
     # Counts by day are combined before the exchange; a window by day would move every row.
-    days = out.groupBy("session_date").agg(breadth("stock_return_1d_context").alias("market_breadth_1d"), breadth("stock_return_5d_context").alias("market_breadth_5d"))
+    days = _own_returns(panel).groupBy("session_date").agg(breadth("stock_return_1d_context").alias("market_breadth_1d"), breadth("stock_return_5d_context").alias("market_breadth_5d"))
     return out.join(days, "session_date", "left")
 
 
+def _with_volatility(daily: DataFrame) -> DataFrame:
+    return daily.withColumn("sector_volatility_20d", rolling("stddev_samp", F.col("sector_return_1d"), 20, ("sector",)))
+
+
 def sector_daily(panel: DataFrame) -> DataFrame:
     """Equal-weight returns, breadth and volatility by sector and day (volatility in day order)."""
     daily = _own_returns(panel).groupBy("sector", "session_date").agg(*(F.avg(f"stock_return_{n}d_context").alias(f"sector_return_{n}d") for n in SPANS), breadth("stock_return_1d_context").alias("sector_breadth_1d"))
-    return daily.withColumn("sector_volatility_20d", rolling("stddev_samp", F.col("sector_return_1d"), 20, ("sector",)))
+    return _with_volatility(daily)
 
 
 def sector_context(panel: DataFrame) -> DataFrame:
@@ -107,9 +111,30 @@ def cross_asset_context(panel: DataFrame, *, india_vix: DataFrame | None = None,
     return out.withColumns({c: F.lit(None).cast("double") for c in CROSS_ASSET_COLUMNS if c not in out.columns})
 
 
+def day_context(panel: DataFrame) -> DataFrame:
+    """By sector and day: ``sector_daily`` with the market's breadth of the day, from one pass over ``panel``.
+
+    Counts and sums of a sector's day are the parts of the market's, so both come from one
+    aggregate; what is left of it, a row a sector and day, goes on in windows.
+    """
+    ups = lambda n: F.count_if(F.col(f"stock_return_{n}d_context") > 0)
+    parts = _own_returns(panel).groupBy("sector", "session_date").agg(
+        *(F.avg(f"stock_return_{n}d_context").alias(f"sector_return_{n}d") for n in SPANS), breadth("stock_return_1d_context").alias("sector_breadth_1d"), F.count("*").alias("_n"), ups(1).alias("_u1"), ups(5).alias("_u5")
+    )
+    day = Window.partitionBy("session_date")
+    out = parts.withColumns({f"market_breadth_{n}d": F.sum(f"_u{n}").over(day) / F.sum("_n").over(day) for n in (1, 5)})
+    out = _with_volatility(out.drop("_n", "_u1", "_u5"))
+    return out.withColumns({c: F.when(F.col("sector").isNotNull(), F.col(c)) for c in (*(f"sector_return_{n}d" for n in SPANS), "sector_volatility_20d", "sector_breadth_1d")})
+
+
 def context_features(panel: DataFrame, *, market_index: DataFrame, india_vix: DataFrame | None = None, usd_inr: DataFrame | None = None, crude: DataFrame | None = None) -> DataFrame:
-    """All context: market, then sector on the same lineage (no join back), then cross assets."""
-    out = market_context(panel, market_index=market_index)
-    out = out.join(sector_daily(panel), ["sector", "session_date"], "left")
-    out = out.withColumns({f"stock_vs_sector_return_{n}d": F.col(f"stock_return_{n}d_context") - F.col(f"sector_return_{n}d") for n in SPANS})
+    """All context.  What is by day and sector comes from one aggregate of the panel and is joined
+    once; what is by day alone (index, regime, cross assets) is joined as it is in the parts."""
+    required(panel, ("ticker", "session_date", "close", "sector"))
+    days = day_context(panel).withColumnsRenamed({"sector": "_sector", "session_date": "_day"})
+    # A day's breadth also holds for stocks without a sector.
+    out = _own_returns(panel).join(days, F.col("sector").eqNullSafe(F.col("_sector")) & (F.col("session_date") == F.col("_day")), "left").drop("_sector", "_day")
+    out = many_to_one(out, regime(index_features(market_index)), ["session_date"])
+    out = out.withColumns({f"market_regime_{k}": F.coalesce(f"market_regime_{k}", F.lit(0.0)) for k in ("trend", "volatility")})
+    out = out.withColumns({f"stock_vs_{side}_return_{n}d": F.col(f"stock_return_{n}d_context") - F.col(f"{side}_return_{n}d") for side in ("market", "sector") for n in SPANS})
     return cross_asset_context(out, india_vix=india_vix, usd_inr=usd_inr, crude=crude)

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 BY_TICKER = ("ticker",)
 
 
-def over(keys: tuple[str, ...] = BY_TICKER, order: str = "session_date") -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(order) if keys else Window.partitionBy(F.lit(0)).orderBy(order)
+BY_DAY = ("session_date",)
 
 
-def last_rows(n: int, keys: tuple[str, ...] = BY_TICKER, order: str = "session_date") -> WindowSpec:
+def over(keys: tuple[str, ...] = BY_TICKER, order: tuple[str, ...] = BY_DAY) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(*order) if keys else Window.partitionBy(F.lit(0)).orderBy(*order)
+
+
+def last_rows(n: int, keys: tuple[str, ...] = BY_TICKER, order: tuple[str, ...] = BY_DAY) -> WindowSpec:
     return over(keys, order).rowsBetween(-(n - 1), 0)
 
 
@@ -21,9 +24,9 @@ def full(value: Column, result: Column, n: int, spec: WindowSpec) -> Column:
     return F.when(F.count(value).over(spec) >= n, result)
 
 
-def rolling(kind: str, value: Column, n: int, keys: tuple[str, ...] = BY_TICKER) -> Column:
+def rolling(kind: str, value: Column, n: int, keys: tuple[str, ...] = BY_TICKER, order: tuple[str, ...] = BY_DAY) -> Column:
     """A gated rolling avg, stddev_samp, stddev_pop, min or max of the last ``n`` rows."""
-    spec = last_rows(n, keys)
+    spec = last_rows(n, keys, order)
     return full(value, getattr(F, kind)(value).over(spec), n, spec)
 
 
