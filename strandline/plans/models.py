@@ -102,13 +102,28 @@ class Baseline(Model):
         return {"strategy": self.strategy, "value": self.value}
 
 
+def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """The number of rounds up to the best loss seen before ``patience`` rounds brought no gain,
+    and whether that many did."""
+    best, at = math.inf, 0
+    for i, loss in enumerate(losses, 1):
+        if loss < best:
+            best, at = loss, i
+        elif i - at >= patience:
+            return max(at, 1), True
+    return max(at, 1), False
+
+
 class BoostedTrees(Model):
-    """Gradient-boosted trees with early stopping on the selection rows."""
+    """Gradient-boosted trees, cut at the best round on the selection rows once
+    ``early_stopping_rounds`` rounds have brought no gain there."""
 
     name, selects = "boosted_trees", True
 
     def __init__(self, n_estimators: int = 100, max_depth: int = 3, learning_rate: float = 0.05, subsample: float = 0.8, colsample_bytree: float = 0.8, random_state: int = 42, early_stopping_rounds: int = 10):
         super().__init__()
+        if early_stopping_rounds < 1:
+            raise ValueError("early_stopping_rounds is at least 1")
         self.options = dict(n_estimators=n_estimators, max_depth=max_depth, learning_rate=learning_rate, subsample=subsample, colsample_bytree=colsample_bytree, random_state=random_state, early_stopping_rounds=early_stopping_rounds)
         self.model = None
 
@@ -127,23 +142,33 @@ class BoostedTrees(Model):
         o = self.options
         kind = GBTRegressor if spec.task == "regression" else GBTClassifier
         trees = kind(
-            featuresCol="_x", labelCol=spec.name, maxIter=o["n_estimators"], maxDepth=o["max_depth"], stepSize=o["learning_rate"], subsamplingRate=o["subsample"],
-            featureSubsetStrategy=str(o["colsample_bytree"]) if o["colsample_bytree"] < 1 else "all", seed=o["random_state"], validationIndicatorCol="_selection", validationTol=0.0,
+            featuresCol="_x", labelCol=spec.name, maxDepth=o["max_depth"], stepSize=o["learning_rate"], subsamplingRate=o["subsample"],
+            featureSubsetStrategy=str(o["colsample_bytree"]) if o["colsample_bytree"] < 1 else "all", seed=o["random_state"],
         )
         columns = [*self.features, spec.name]
-        both = rows.select(*columns, F.lit(False).alias("_selection")).unionByName(selection.select(*columns, F.lit(True).alias("_selection")))
-        self.model = trees.fit(self._vectors(both))
-        self.best_step = self.model.getNumTrees
-        return self
+        fit, held = self._vectors(rows.select(*columns)), self._vectors(selection.select(*columns))
+        # A round's tree does not depend on the rounds after it: fewer are tried first.
+        rounds = min(o["n_estimators"], 4 * o["early_stopping_rounds"])
+        while True:
+            self.model = trees.setMaxIter(rounds).fit(fit)
+            losses = self.model.evaluateEachIteration(held, "squared") if spec.task == "regression" else self.model.evaluateEachIteration(held)
+            self.best_step, stopped = best_round(losses, o["early_stopping_rounds"])
+            if stopped or rounds == o["n_estimators"]:
+                return self
+            rounds = min(o["n_estimators"], 3 * rounds)
 
     def predict(self, rows, history=None):
-        from pyspark.ml.functions import vector_to_array
-
         spec = self.fitted()
-        out = self.model.transform(self._vectors(rows))
+        out, margin = self._vectors(rows), F.lit(0.0)
+        for i, (tree, weight) in enumerate(zip(self.model.trees[: self.best_step], self.model.treeWeights, strict=False)):
+            out = tree.setPredictionCol(f"_t{i}").transform(out)
+            margin = margin + F.lit(float(weight)) * F.col(f"_t{i}")
+        helpers = ["_x", *(f"_t{i}" for i in range(self.best_step))]
         if spec.task == "regression":
-            return out.withColumnRenamed("prediction", "y_pred").drop("_x")
-        return out.withColumn("p1", vector_to_array("probability")[1]).withColumnRenamed("prediction", "y_pred").drop("_x", "probability", "rawPrediction")
+            return out.withColumn("y_pred", margin).drop(*helpers)
+        # The trees fit half the log odds.
+        out = out.withColumn("p1", 1 / (1 + F.exp(-2 * margin)))
+        return out.withColumn("y_pred", F.when(F.col("p1") > 0.5, 1.0).otherwise(0.0)).drop(*helpers)
 
     def params(self):
         return dict(self.options)

@@ -64,6 +64,37 @@ def test_baselines(spark):
         models.Baseline().predict(rows)
 
 
+def test_patience_decides_the_round():
+    losses = [5.0, 4.0, 4.1, 4.2, 3.0, 3.5, 3.6]
+    assert models.best_round(losses, 1) == (2, True) and models.best_round(losses, 2) == (2, True)
+    assert models.best_round(losses, 3) == (5, False) and models.best_round([1.0, 2.0], 1) == (1, True)
+    assert models.best_round([math.nan, math.nan], 5) == (1, False)
+
+
+def test_trees_stop_by_their_patience(spark):
+    """On noise the first rounds rarely gain in a row, so a longer patience finds a better round."""
+    from strandline.plans.dataset import target_spec
+
+    rng = np.random.default_rng(5)
+    x, noise = rng.normal(size=(400, 2)), rng.normal(size=400)
+    rows = [(float(a), float(b), float(a + 0.5 * a * b + n)) for (a, b), n in zip(x, noise, strict=True)]
+    frame = spark.createDataFrame(rows, "f1 double, f2 double, target_return_1d double")
+    fit, held = frame.limit(200), frame.subtract(frame.limit(200))
+    fit, held = fit.persist(), held.persist()
+    steps = {}
+    for patience in (1, 30):
+        model = models.BoostedTrees(n_estimators=40, max_depth=2, learning_rate=0.4, subsample=0.4, early_stopping_rounds=patience).fit(fit, ["f1", "f2"], target_spec("target_return_1d"), held)
+        losses = model.model.evaluateEachIteration(model._vectors(held), "squared")
+        steps[patience] = (model.best_step, losses[model.best_step - 1])
+        wanted = model.predict(held)
+        assert "_x" not in wanted.columns and not any(c.startswith("_t") for c in wanted.columns)
+        got = wanted.agg(F.avg(F.pow(F.col("y_pred") - F.col("target_return_1d"), 2))).first()[0]
+        assert math.isclose(got, losses[model.best_step - 1], rel_tol=1e-9)
+    assert steps[1][0] != steps[30][0] and steps[30][1] < steps[1][1]
+    with pytest.raises(ValueError):
+        models.BoostedTrees(early_stopping_rounds=0)
+
+
 def test_registry():
     assert models.available_models() == ("baseline_majority", "baseline_mean", "baseline_zero", "lstm", "transformer", "xgboost")
     with pytest.raises(ValueError, match="unknown model"):
