@@ -48,7 +48,9 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "audit":
         rows = panel.read_csv(spark, args.path, ticker_from_file=True)
         audited = quality.audit(panel.normalise(rows.select(*panel.COLUMNS)))
-        audited.orderBy("ticker").show(1000, truncate=False)
+        print("\t".join(audited.columns))
+        for row in audited.orderBy("ticker").toLocalIterator():  # all tickers, a partition at a time
+            print("\t".join(map(str, row)))
         quality.audit_totals(audited).show(truncate=False)
         quality.row_histogram(audited).orderBy("n_rows").show(truncate=False)
     elif args.command == "ingest":

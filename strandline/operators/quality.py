@@ -24,17 +24,11 @@ def _missing(c: str) -> Column:
     return _value(c).isNull()
 
 
-def quality_report(panel: DataFrame) -> DataFrame:
-    """One row of violation counts over the whole panel, of text or typed columns.
-
-    Row-wise rules are one aggregate pass.  Repeated keys need an exchange on
-    the key, order of days needs ``ingest_id`` (rows have no order of their own;
-    without it the count is null).
-    """
-    required(panel, COLUMNS)
+def _row_rules() -> dict[str, Column]:
+    """Violation counts that each row is judged for alone."""
     low, high, opened, closed = (_value(c) for c in ("low", "high", "open", "close"))
     relation = (low > high) | (opened < low) | (opened > high) | (closed < low) | (closed > high)
-    bad = {
+    return {
         "n_rows": F.count("*"),
         "bad_date": _count(day("session_date").isNull()),
         "null_ticker": _count(F.col("ticker").isNull()),
@@ -45,7 +39,17 @@ def quality_report(panel: DataFrame) -> DataFrame:
         "negative_volume": _count(_value("volume") < 0),
         "ohlc_relation": _count(relation),
     }
-    rows = panel.agg(*(c.alias(n) for n, c in bad.items()))
+
+
+def quality_report(panel: DataFrame) -> DataFrame:
+    """One row of violation counts over the whole panel, of text or typed columns.
+
+    Row-wise rules are one aggregate pass.  Repeated keys need an exchange on
+    the key, order of days needs ``ingest_id`` (rows have no order of their own;
+    without it the count is null).
+    """
+    required(panel, COLUMNS)
+    rows = panel.agg(*(c.alias(n) for n, c in _row_rules().items()))
     keys = panel.groupBy("ticker", "session_date").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_keys"))
     out = rows.crossJoin(F.broadcast(keys))
     if "ingest_id" in panel.columns:
@@ -57,6 +61,15 @@ def quality_report(panel: DataFrame) -> DataFrame:
     return out.withColumn("unordered_tickers", F.lit(None).cast("long"))
 
 
+def violations_by_ticker(panel: DataFrame) -> DataFrame:
+    """The counts of ``quality_report`` for each ticker, from one exchange; ``ingest_id`` orders its rows."""
+    required(panel, (*COLUMNS, "ingest_id"))
+    w = Window.partitionBy("ticker").orderBy("ingest_id")
+    same = F.count("*").over(Window.partitionBy("ticker", "session_date"))
+    rows = panel.withColumns({"_late": F.lag(day("session_date")).over(w) > day("session_date"), "_same": same})
+    return rows.groupBy("ticker").agg(*(c.alias(n) for n, c in _row_rules().items()), _count(F.col("_same") > 1).alias("duplicate_keys"), _count(F.col("_late")).alias("unordered_rows"))
+
+
 def validate(panel: DataFrame) -> None:
     """Raise one error that lists every kind of violation with its count."""
     found = quality_report(panel).first().asDict()

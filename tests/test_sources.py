@@ -108,3 +108,32 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {tuple(r) for r in event_bars(spark.read.parquet(source)).collect()}
     assert got <= want and len(got) >= len(want) - 10  # the last day's bars are not final yet
+
+
+def test_a_provider_is_read_ticker_by_ticker(spark, tmp_path):
+    from strandline.sources import provider
+
+    def fetch(ticker, period):
+        if ticker == "DOWN":
+            raise ConnectionError(f"no {period} of {ticker}")
+        if ticker == "NONE":
+            return []
+        rows = [{"Date": f"2024-01-{d:02d}", "Open": 10.0, "High": 12.0, "Low": 9.0, "Close": 11.0, "Adj Close": 11.0, "Volume": 100} for d in range(1, 6)]
+        if ticker == "NEG":
+            rows[2]["Close"] = -1.0
+        if ticker == "TWICE":
+            rows.append(rows[-1])
+        if ticker == "BACK":
+            rows.reverse()
+        if ticker == "THIN":
+            del rows[0]["Volume"]
+        return rows
+
+    fine, failed = provider.fetch_universe(spark, fetch, ["aaa", "BBB", "DOWN", "NONE", "NEG", "TWICE", "BACK", "THIN"], str(tmp_path / "u"))
+    assert fine == ["AAA", "BBB"] and set(failed) == {"DOWN", "NONE", "NEG", "TWICE", "BACK", "THIN"}
+    assert failed["DOWN"] == "ConnectionError: no 10y of DOWN" and "no rows" in failed["NONE"] and "missing columns: ['volume']" in failed["THIN"]
+    assert failed["NEG"].startswith("non_positive_close: 1") and failed["TWICE"] == "duplicate_keys: 2" and failed["BACK"].startswith("unordered_rows: 4")
+    saved = spark.read.option("header", True).csv(str(tmp_path / "u"))
+    assert saved.count() == 10 and {r["ticker"] for r in saved.collect()} == {"AAA", "BBB"}
+    with pytest.raises(ValueError):
+        provider.scan(spark, fetch, [" "])
