@@ -1,16 +1,15 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
 The reference is the corpus itself, read in order of (id, place), in blocks: a
-block is the text around one anchor, which is the word 4-gram with the smallest
+block is the text around one anchor, which is the run of a few words with the smallest
 hash inside each window of ``window`` words.  A stretch of windows with one anchor
 is a unit; its context is the text of all its windows.  The index has a row an
-anchor: its first place in the corpus, the context there, and whether there are
-other contexts.
+anchor: its first place in the corpus, and whether all its contexts are the same.
 
 A document is factored greedily from left to right.  Each unit is looked up in the
 index, and a factor (start, length, source, place there) goes on as long as the
-next unit continues in the same source.  A factor ends where a context differs from
-the indexed one; such a boundary is checked window by window in an index of the
+next unit continues in the same source.  Where contexts of an anchor differ, factors
+end or begin; such a boundary is checked window by window in an index of the
 windows at boundaries, and goes on as far as the windows do.  Factors have
 ``window`` words at least; their union is what is removed.
 
@@ -31,15 +30,19 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import Words, chained, cut, mix, partitions, text_slices, _power_tables
 
-#: Words of an anchor.
-GRAM = 4
+#: Words of a window at least.
+LEAST = 5
 
-#: What a document's mark says of its units with an anchor: their context is the source's; they
-#: are the source and other contexts follow; they may have the source's context or another one.
-_COVERED, _SOURCE, _MIXED = 1, 2, 3
+#: What a document's mark says of its units with an anchor: all have the source's context, or contexts differ.
+_COVERED, _BOUNDARY = 1, 2
 _MARK = np.uint64(3)
 
 
+def anchor_words(window: int) -> int:
+    """Words of an anchor: so many that unlike texts seldom share one, so few that a window has many."""
+    return max(2, min(6, window // 3))
+
+
 class _Units:
     """Stretches of windows with one anchor, over the words of some texts."""
 
@@ -56,8 +59,9 @@ class _Units:
             self.first = self.last = self.text = self.place = np.empty(0, dtype=np.int64)
             self.anchor = self.context = np.empty(0, dtype=np.uint64)
             return
-        grams = chained(h, GRAM)
-        span = window - GRAM + 1
+        size_of = anchor_words(window)
+        grams = chained(h, size_of)
+        span = window - size_of + 1
         best = np.arange(len(grams))
         size = 1
         while size < span:  # the leftmost smallest gram of stretches of growing size
@@ -98,7 +102,7 @@ def _leaders(*keys: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def _anchors(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A row for each text and anchor: the smallest and largest context there, and the first one with its place."""
+    """A row for each text and anchor: the smallest and largest context there, and the first place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +120,7 @@ def _anchors(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 docs = batch.column("doc_id")[first:end].take(pa.array(t[new]))
                 at = (u.place - words.bounds[u.text])[lead].astype(np.int32)
                 lo, hi = np.minimum.reduceat(c, begin), np.maximum.reduceat(c, begin)
-                yield pa.RecordBatch.from_arrays([_signed(a[new]), pa.array(lo), pa.array(hi), pa.array(c[begin]), pa.array(at), docs], names=["anchor", "lo", "hi", "context", "at", "doc_id"])
+                yield pa.RecordBatch.from_arrays([_signed(a[new]), pa.array(lo), pa.array(hi), pa.array(at), docs], names=["anchor", "lo", "hi", "at", "doc_id"])
 
     return run
 
@@ -149,16 +153,14 @@ class _Parse:
         known, hit, fields = _looked_up(batch.column("marks")[first:end], "code", u.text, u.anchor, _MARK)
         code = np.zeros(len(hit), dtype=np.int64)
         self.source, self.at = code.copy(), code.copy()
-        same = known.copy()
         if known.any():
             h = hit[known]
             code[known] = (fields["code"].view(np.uint64)[h] & _MARK).astype(np.int64)
             self.source[known], self.at[known] = fields["source"][h], fields["at"][h]
-            same[known] = fields["context"].view(np.uint64)[h] == u.context[known]
         # A text without an id is in no index: only its own windows are compared.
         nameless = batch.column("doc_id")[first:end].is_null().to_numpy(zero_copy_only=False)[u.text]
-        self.covered = (code == _COVERED) | ((code == _MIXED) & same)
-        self.boundary = (code == _SOURCE) | ((code == _MIXED) & ~same) | nameless
+        self.covered = code == _COVERED
+        self.boundary = (code == _BOUNDARY) | nameless
         self.unmarked = (code == 0) & ~nameless
         picked = np.flatnonzero(self.boundary)
         lengths = u.last[picked] - u.first[picked] + 1
@@ -282,17 +284,15 @@ def parse_repeats(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
     in one of them; a row with a null id is earlier than none, only repeats within itself are
     found, and their source is null.  An empty table gives no rows.
     """
-    if window <= GRAM:
-        raise ValueError(f"window is more than {GRAM} words")
+    if window < LEAST:
+        raise ValueError(f"window is {LEAST} words at least")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    anchors = rows.mapInArrow(_anchors(window), "anchor long, lo long, hi long, context long, at int, doc_id long").where("doc_id is not null")
-    index = anchors.groupBy("anchor").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("context", "doc_id").alias("context"), F.min_by("at", "doc_id").alias("at")
-    )
-    index = index.where("lo <> hi or source <> last").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"), "source", "context", "at")
+    anchors = rows.mapInArrow(_anchors(window), "anchor long, lo long, hi long, at int, doc_id long").where("doc_id is not null")
+    index = anchors.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("doc_id").alias("source"), F.min_by("at", "doc_id").alias("at"), F.count("*").alias("n"))
+    index = index.where("lo <> hi or n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"), "source", "at")
     marks = anchors.select("anchor", "doc_id").join(index, "anchor").where("mixed or doc_id > source")
-    code = F.col("anchor") + F.when(~F.col("mixed"), _COVERED).when(F.col("doc_id") == F.col("source"), _SOURCE).otherwise(_MIXED)
-    marks = cut(marks.groupBy("doc_id").agg(F.collect_list(F.struct(code.alias("code"), "context", "source", "at")).alias("marks")), "marks")
+    code = F.col("anchor") + F.when(F.col("mixed"), _BOUNDARY).otherwise(_COVERED)
+    marks = cut(marks.groupBy("doc_id").agg(F.collect_list(F.struct(code.alias("code"), "source", "at")).alias("marks")), "marks")
     texts = rows.repartition(partitions(docs.sparkSession), "doc_id")
     marked = texts.join(marks, "doc_id", "left")
     windows = marked.where("marks is not null").mapInArrow(_windows(window), "key long, check int, doc_id long, at int")
