@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut
+from strandline.llm.common import cut, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,5 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Done when every node has one edge, and no node with one has nodes tied to it.
         ends = after.select(F.col("b").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(after.select(F.col("a").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            discard(current)
             return after.select(F.col("b").alias("id"), F.col("a").alias("label"))
+        discard(current)
         current = after

@@ -8,10 +8,11 @@ probability Jaccard of their sets.  Bands of registers give candidates, which
 are verified exactly on the whole texts.
 
 Copies of one text are one node.  Within a bucket no list of all pairs is made:
-every node is first verified against the smallest node it shares a bucket with;
-after that only nodes of different components are compared, by finer signatures, in
-blocks, and the best untried pairs of each node go to verification, few at
-first, then all that are left.
+every node is first verified against the smallest node it shares a bucket with.
+Then a bucket's largest component and all other members are dealt out in blocks,
+and the others are compared by finer signatures, block by block, with what is not of
+their component.  Each node's best partners go to verification, few at first, then
+all that are left, and none that the links found so far have joined.
 """
 
 from __future__ import annotations
@@ -21,17 +22,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Words, chained, cut, mix, partitions, text_slices, utf8
+from strandline.llm.common import Words, chained, cut, discard, mix, partitions, text_slices, utf8
 from strandline.llm.components import components
 
-#: Members of a bucket that are compared in one block.
+#: Members of a bucket in one block; a task compares two of them.
 BLOCK = 4096
-#: Untried pairs that one block puts forward for a node in a round.  Links show at once;
-#: when less than half of a round's pairs are links, all that is left is put forward.
-FEW = 2
+#: From this many members on a bucket has a few blocks, so that several tasks share it.
+SHARED, FEW_BLOCKS = 512, 3
+#: Places of a node's partners, best first, that go to verification in one round.  When less
+#: than half of a round's pairs are links, all that is left follows at once.
+WINDOWS = ((0, 2), (2, 8), (8, 32), (32, None))
 #: Registers of the candidates' own, finer signatures.
 FINE = 1024
 
@@ -182,32 +185,30 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.concat_tables(held)
 
 
-def _put_forward(least: float, few: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Untried pairs of different components whose signatures agree enough."""
+#: What a row is in its group: compared with, comparing, or both.
+_TARGET, _PROPOSER, _BOTH = 0, 1, 2
+
+
+def _put_forward(least: float, window: tuple[int, int | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of different components whose signatures agree enough and whose place among the
+    partners that a node had when blocks were dealt lies in the window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ("key", "block")):
-            ids = np.asarray(group.column("id"))
-            labels = np.asarray(group.column("label"))
-            if len(np.unique(labels)) < 2:
-                continue
+            ids, first, label, role, star = (np.asarray(group.column(c)) for c in ("id", "first_label", "label", "role", "star"))
             table = np.stack([np.frombuffer(x, dtype=np.uint8) for x in group.column("signature").to_pylist()])
-            tried = group.column("tried").to_pylist()
-            minor = np.flatnonzero(np.asarray(group.column("minor")))
             key, keys = group.column("key")[0].as_py(), [set(k) for k in group.column("keys").to_pylist()]
-            found: set[tuple[int, int]] = set()
-            for i in minor:
-                agree = (table == table[i]).mean(axis=1)
-                ok = (agree >= least) & (labels != labels[i])
-                if tried[i]:
-                    ok &= ~np.isin(ids, tried[i])
-                at = np.flatnonzero(ok)
-                if not len(at):
-                    continue
-                for j in at[np.lexsort((ids[at], -agree[at]))][:few]:
-                    if few is None and min(keys[i] & keys[j]) != key:
-                        continue  # the pair comes from the first bucket it shares
-                    found.add((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+            found: list[tuple[int, int]] = []
+            for i in np.flatnonzero(role != _TARGET):
+                open_to = (first != first[i]) & ((role == _TARGET) | ((role == _BOTH) & (role[i] == _BOTH) & (ids > ids[i])))
+                at = np.flatnonzero(open_to & (ids != star[i]) & (star != ids[i]))
+                agree = (table[at] == table[i]).mean(axis=1)
+                at, agree = at[agree >= least], agree[agree >= least]
+                at = at[np.lexsort((ids[at], -agree))][slice(*window)]
+                for j in at[label[at] != label[i]]:
+                    # The pair comes from the first bucket it shares.
+                    if min(keys[i] & keys[j]) == key:
+                        found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
             if found:
                 a, b = zip(*sorted(found), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -251,24 +252,27 @@ def near_duplicates(
     shared_keys = members.groupBy("id").agg(F.collect_set("key").alias("keys"))
     signatures = cut(texts.mapInArrow(_fine_signatures(shingle, FINE), "id long, signature binary").join(shared_keys, "id"), "candidates")
 
-    pairs = members.groupBy("id").agg(F.min("low").alias("a")).where("a < id").select("a", F.col("id").alias("b"))
-    verified = _verified(pairs, texts, shingle)
+    stars = cut(members.groupBy("id").agg(F.min("low").alias("star")).where("star < id"), "stars")
+    verified = _verified(stars.select(F.col("star").alias("a"), F.col("id").alias("b")), texts, shingle)
     # Four and a half standard deviations below the threshold.
     least = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / FINE)
     links = verified.where(F.col("similarity") >= threshold)
-    labels, few = components(links), FEW
+    labels = components(links)
+    dealt = _dealt(members, labels, stars)
+    window = WINDOWS[0]
     while True:
-        pairs = _cross_pairs(members, labels, signatures, verified, least, few)
-        if not (n_pairs := pairs.count()):
+        pairs = _cross_pairs(dealt, labels, signatures, least, window)
+        n_pairs, n_links = pairs.count(), 0
+        if n_pairs:
+            tried = _verified(pairs, texts, shingle)
+            if n_links := tried.where(F.col("similarity") >= threshold).count():
+                links = links.unionByName(tried.where(F.col("similarity") >= threshold))
+                labels = components(links)
+        discard(pairs)
+        if window[1] is None:
             break
-        tried = _verified(pairs, texts, shingle)
-        verified = verified.unionByName(tried)
-        if n_links := tried.where(F.col("similarity") >= threshold).count():
-            links = verified.where(F.col("similarity") >= threshold)
-            labels = components(links)
-        if few is None:
-            break
-        few = FEW if 2 * n_links > n_pairs else None
+        window = WINDOWS[WINDOWS.index(window) + 1] if 2 * n_links > n_pairs else (window[1], None)
+    discard(dealt, signatures, texts, members, stars)
     # Rows of one id are one document, so an id may join the classes of two texts.
     owned = cut(signed.select("doc_id", "digest").join(nodes.select("digest", "id"), "digest", "left").select("doc_id", "id"), "owned")
     own = owned.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
@@ -287,25 +291,46 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", **options) -> Da
     return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_keep"]), "left_semi")
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame, verified: DataFrame, least: float, few: int | None) -> DataFrame:
-    """Pairs of different components in one bucket that still want verification."""
-    spark = members.sparkSession
+def _blocks(n: Column) -> Column:
+    """Blocks of n members."""
+    return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.least(F.lit(FEW_BLOCKS), F.ceil(n / SHARED))).cast("int")
+
+
+def _dealt(members: DataFrame, labels: DataFrame, stars: DataFrame) -> DataFrame:
+    """The members of buckets with several components, dealt out in groups of two blocks: key, block,
+    id, role, first_label (the component at this time), star.
+
+    A group has a block q of the others, which are compared with the p-th block: first those of the
+    largest component, then the others after q; within itself a block q is compared in its first group.
+    So a task has two blocks at most, and a member of the largest component is copied as often as
+    there are blocks of others.
+    """
     labelled = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    labelled = cut(labelled.join(mixed, "key"), "mixed")
-    # The commonest component of a bucket is dealt out over blocks; all others meet each block.
     counts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    major = counts.groupBy("key").agg(F.max(F.struct("n", F.negate("label").alias("neg"))).alias("top"), F.sum("n").alias("n"))
-    major = major.select("key", (-F.col("top.neg")).alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = labelled.join(major, "key").withColumn("minor", F.col("label") != F.col("major"))
-    home = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))))
-    both = verified.select(F.col("a").alias("id"), F.col("b").alias("other")).union(verified.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    # Partners of a component's star centre are many, but it is of that component then and
-    # its partners within are of no use here.
-    apart = both.join(labels.select("id", F.col("label").alias("l1")), "id", "left").join(labels.select(F.col("id").alias("other"), F.col("label").alias("l2")), "other", "left")
-    tried = apart.where("coalesce(l1, id) <> coalesce(l2, other)").groupBy("id").agg(F.collect_set("other").alias("tried"))
-    full = dealt.select("key", "block", "id", "label", "minor").join(signatures, "id").join(tried, "id", "left")
-    sorted_rows = full.repartition(partitions(spark), "key", "block").sortWithinPartitions("key", "block", "id")
-    found = sorted_rows.mapInArrow(_put_forward(least, few), "a long, b long").distinct()
-    return cut(found, "pairs")
+    sizes = counts.groupBy("key").agg(F.max(F.struct("n", F.negate("label").alias("neg"))).alias("top"), F.sum("n").alias("n")).where("top.n < n")
+    sizes = sizes.select("key", (-F.col("top.neg")).alias("major"), _blocks(F.col("top.n")).alias("p"), _blocks(F.col("n") - F.col("top.n")).alias("q"))
+    spread = labelled.join(sizes, "key")
+    is_major = F.col("label") == F.col("major")
+    home = F.pmod(F.xxhash64("id"), F.when(is_major, F.col("p")).otherwise(F.col("q"))).cast("int")
+    spread = spread.withColumn("home", home)
+    place = lambda q, p, role: F.struct((q * (F.col("p") + F.col("q")) + p).cast("long").alias("block"), F.lit(role).alias("role"))
+    upto = lambda first, end: F.filter(F.sequence(F.lit(0), end - 1), lambda x: x >= first)
+    as_major = F.transform(upto(F.lit(0), F.col("q")), lambda q: place(q, F.col("home"), _TARGET))
+    as_other = F.concat(
+        F.array(place(F.col("home"), F.lit(0), _BOTH)),
+        F.transform(upto(F.lit(1), F.col("p")), lambda p: place(F.col("home"), p, _PROPOSER)),
+        F.transform(upto(F.col("home") + 1, F.col("q")), lambda q: place(F.col("home"), F.col("p") + q, _PROPOSER)),
+        F.transform(F.filter(F.sequence(F.lit(0), F.col("q") - 1), lambda q: q < F.col("home")), lambda q: place(q, F.col("p") + F.col("home"), _TARGET)),
+    )
+    spread = spread.withColumn("g", F.explode(F.when(is_major, as_major).otherwise(as_other)))
+    spread = spread.select("key", F.col("g.block").alias("block"), "id", F.col("g.role").alias("role"), F.col("label").alias("first_label"))
+    return cut(spread.join(stars, "id", "left").withColumn("star", F.coalesce("star", "id")), "dealt")
+
+
+def _cross_pairs(dealt: DataFrame, labels: DataFrame, signatures: DataFrame, least: float, window: tuple[int, int | None]) -> DataFrame:
+    """Pairs of different components in one bucket that are to be verified now."""
+    labelled = dealt.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = labelled.groupBy("key", "block").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key", "block")
+    full = labelled.join(mixed, ["key", "block"]).join(signatures, "id")
+    rows = full.repartition(partitions(dealt.sparkSession), "key", "block").sortWithinPartitions("key", "block", "id")
+    return cut(rows.mapInArrow(_put_forward(least, window), "a long, b long").distinct(), "pairs")

@@ -70,18 +70,46 @@ def _shares(cells: DataFrame, dim: str, target: Target) -> DataFrame:
     return cells.drop("_mass", "_named").join(values, dim)
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Target], *, sweeps: int) -> DataFrame:
-    """``cells`` (the dimensions and ``tokens``) with ``weight``, whose marginals meet the targets."""
+def _gaps(cells: DataFrame, dims: tuple[str, ...]) -> DataFrame:
+    """dim, value, target, share and gap of each marginal of raked cells, in one pass."""
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).alias("value"), F.col(f"_t_{d}").alias("target")) for d in dims))).alias("m")
+    out = cells.select(each, "weight").groupBy("m.dim", "m.value").agg(F.max("m.target").alias("target"), F.sum("weight").alias("weight"))
+    # The weights of each dimension add up to the same.
+    out = out.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("dim")))
+    return out.select("dim", "value", "target", "share", F.abs(F.col("share") - F.col("target")).alias("gap"))
+
+
+def gaps(raked: DataFrame, targets: Mapping[str, Target]) -> DataFrame:
+    """dim, value, target, share and gap of each marginal: how near the fit of ``rake`` came."""
+    out = raked
+    for dim, target in targets.items():
+        out = _shares(out, dim, target)
+    return _gaps(out, tuple(targets))
+
+
+def rake(cells: DataFrame, targets: Mapping[str, Target], *, sweeps: int, tolerance: float = 1e-13) -> DataFrame:
+    """``cells`` (the dimensions and ``tokens``) with ``weight``, whose marginals meet the targets.
+
+    Sweeps end when no marginal is further from its target than ``tolerance``, or after
+    ``sweeps``.  Targets that cannot be met together (a value of one dimension that stands in cells
+    of one value of another only, say) never come that near: then the last dimension's are met, and
+    ``gaps`` tells what is missing of the others.  Up to ``BROADCAST_CELLS`` cells are fitted in one
+    task, without an exchange; more are fitted by exchanges.
+    """
     out = cells
     for dim, target in targets.items():
         out = _shares(out, dim, target)
     out = cut(out.withColumn("weight", F.col("tokens").cast("double")), "cells")
+    few = out.count() <= BROADCAST_CELLS
     for sweep in range(sweeps):
+        out = out.coalesce(1) if few else out
         for dim in targets:
             mass = F.sum("weight").over(Window.partitionBy(dim))
             out = out.withColumn("weight", F.when(mass > 0, F.col("weight") * F.col(f"_t_{dim}") / mass).otherwise(0.0))
-        if sweep % 2:
+        if sweep % 2 or sweep == sweeps - 1:
             out = cut(out, "raked")
+            if (_gaps(out, tuple(targets)).agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
+                break
     return out.drop(*(f"_t_{dim}" for dim in targets))
 
 

@@ -6,6 +6,7 @@ one narrow projection over the scan: no shuffle, no user function.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -45,43 +46,44 @@ DEFAULT_RULES = (
 )
 
 
-def _measures(text: Column) -> list[dict[str, Column]]:
-    """Columns in the order they build on each other."""
+def _measures(text: Column, own: Callable[[str], str]) -> list[dict[str, Column]]:
+    """Columns in the order they build on each other; ``own`` names those that the result drops."""
+    all_words, all_lines = own("words"), own("lines")
     words = F.filter(F.split(text, SPACE, -1), lambda w: w != "")
-    first = {"_words": words, "_lines": F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))}
+    first = {all_words: words, all_lines: F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))}
     second = {
-        "n_words": F.size("_words").cast("long"),
-        "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
+        "n_words": F.size(all_words).cast("long"),
+        own("hashes"): F.transform(all_words, lambda w: F.xxhash64(w)),
         "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_stops": F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))),
-        "_uppers": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")),
-        "_letters": F.length(F.regexp_replace(text, r"[^\p{L}]+", "")),
+        "n_lines": F.size(all_lines).cast("long"),
+        "n_dup_lines": (F.size(all_lines) - F.size(F.array_distinct(all_lines))).cast("long"),
+        own("stops"): F.size(F.filter(all_words, lambda w: F.lower(w).isin(STOP_WORDS))),
+        own("uppers"): F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")),
+        own("letters"): F.length(F.regexp_replace(text, r"[^\p{L}]+", "")),
     }
     return [first, second]
 
 
-def _repeated(n: Column, hashes: str) -> list[dict[str, Column]]:
+def _repeated(n: Column, own: Callable[[str], str]) -> list[dict[str, Column]]:
     """Words in five-word windows that stand in the text twice or more.
 
     Most texts have no such window, which a count of distinct ones shows.  In
     the others windows are sorted with their places; equal neighbours are
     repeats; the union of their words follows from the repeats' sorted places.
     """
-    h = F.col(hashes)
+    h, of_windows, in_order, of_repeats = F.col(own("hashes")), own("windows"), own("sorted"), own("places")
     windows = F.when(n >= 5, F.transform(F.sequence(F.lit(0), n.cast("int") - 5), lambda i: F.xxhash64(*[h[i + k] for k in range(5)])))
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    ordered = F.when(repeats, F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
-    s = F.col("_sorted")
+    repeats = F.size(F.array_distinct(of_windows)) < F.size(of_windows)
+    ordered = F.when(repeats, F.array_sort(F.transform(of_windows, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
+    s = F.col(in_order)
     place = lambda x, j: F.when(
         F.coalesce(x["h"] == F.get(s, j - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, j + 1)["h"], F.lit(False)), x["i"]
     )
     places = F.array_sort(F.filter(F.transform(s, place), lambda i: i.isNotNull()))
     begin = F.struct(F.lit(-5).alias("last"), F.lit(0).cast("long").alias("total"))
     step = lambda acc, i: F.struct(i.alias("last"), (acc["total"] + F.least(F.lit(5), i - acc["last"])).alias("total"))
-    return [{"_windows": windows}, {"_sorted": ordered}, {"_places": places}, {"n_repeat_words": F.coalesce(F.aggregate("_places", begin, step, lambda acc: acc["total"]), F.lit(0).cast("long"))}]
+    return [{of_windows: windows}, {in_order: ordered}, {of_repeats: places}, {"n_repeat_words": F.coalesce(F.aggregate(of_repeats, begin, step, lambda acc: acc["total"]), F.lit(0).cast("long"))}]
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -98,16 +100,21 @@ def score(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] =
     known = {"mean_word_length", "symbol_ratio", "stop_word_ratio", "dup_line_ratio", "upper_ratio"}
     if unknown := {r.measure for r in rules} - known:
         raise ValueError(f"unknown measures: {sorted(unknown)}")
-    out = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    for columns in [*_measures(F.col("_text")), *_repeated(F.col("n_words"), "_hashes")]:
+    # Helper columns begin as no column of the input does.
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    own = lambda name: f"{prefix}{name}"
+    out = docs.withColumn(own("text"), F.coalesce(F.col(text_col), F.lit("")))
+    for columns in [*_measures(F.col(own("text")), own), *_repeated(F.col("n_words"), own)]:
         out = out.withColumns(columns)
     out = out.withColumns(
         {
             "mean_word_length": _ratio(F.col("word_chars"), F.col("n_words")),
             "symbol_ratio": _ratio(F.col("n_symbols"), F.col("n_words")),
-            "stop_word_ratio": _ratio(F.col("_stops"), F.col("n_words")),
+            "stop_word_ratio": _ratio(F.col(own("stops")), F.col("n_words")),
             "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.col("n_lines")),
-            "upper_ratio": _ratio(F.col("_uppers"), F.col("_letters")),
+            "upper_ratio": _ratio(F.col(own("uppers")), F.col(own("letters"))),
             "base_failed": (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words")),
         }
     )
@@ -121,4 +128,4 @@ def score(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] =
         broken.append(F.when((F.col("n_words") >= r.min_words) & outside, F.lit(f"{i}:{r.measure}")))
     failed = F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
     out = out.withColumn("failed_rules", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_text", "_words", "_lines", "_hashes", "_stops", "_uppers", "_letters", "_windows", "_sorted", "_places")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop(*(c for c in out.columns if c.startswith(prefix)))

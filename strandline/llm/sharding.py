@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut
+from strandline.llm.common import cut, whole_row
 
 #: Bits of the hash; a bucket that is too large here holds rows of one key.
 HASH_BITS = 60
@@ -80,9 +80,19 @@ def _settle(rows: DataFrame, below: int, upto: int, max_bytes: int) -> tuple[Dat
     return found, joined.where("leaf is null").select("doc_id", "n_bytes", "_h")
 
 
-def write_shards(docs: DataFrame, path: str, *, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write every row of ``docs`` below ``path``, one folder a shard."""
+def write_shards(docs: DataFrame, path: str, *, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write every row of ``docs`` below ``path``, one folder a shard, and return the name of the
+    folders' column: ``shard_id``, with underscores before it where ``docs`` has such a column.
+
+    Rows of a shard that no split could mend are dealt over as many tasks as their bytes ask for.
+    """
+    name = "shard_id"
+    while name in docs.columns:
+        name = f"_{name}"
     shards = extendible_shards(docs, max_bytes=max_bytes, id_col=id_col, text_col=text_col)
-    where = shards.select(F.col("doc_id").alias("_id"), F.concat(F.lit("b"), "shard").alias("shard_id")).distinct()
-    rows = docs.join(where, docs[id_col].eqNullSafe(where["_id"])).drop("_id")
-    rows.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    tasks = F.when(F.col("oversized"), F.ceil(F.col("shard_bytes") / max_bytes)).otherwise(1)
+    where = shards.select(F.col("doc_id").alias("key"), F.concat(F.lit("b"), "shard").alias("shard"), tasks.alias("tasks")).distinct()
+    rows = docs.select(whole_row(docs), F.col(id_col).alias("id"), (F.xxhash64(F.col(text_col)) + F.spark_partition_id()).alias("salt"))
+    rows = rows.join(where, rows["id"].eqNullSafe(where["key"])).withColumn("task", F.pmod("salt", "tasks"))
+    rows.repartition("shard", "task").select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
+    return name

@@ -96,6 +96,88 @@ def test_patterns_find_unseen_identifiers_and_leave_others(spark):
     assert got[51]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def planted():
+    rng = random.Random(21)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    texts = [f"{prose(500 + i, 12)} api_key = \"{key(36)}\" {prose(600 + i, 5)}" for i in range(8)]
+    texts += [f"{prose(700 + i, 9)} callback number:\n+1 (743) 555-{1000 + i} ext {prose(800 + i, 4)}" for i in range(8)]
+    unseen = {
+        "password": 'here api_key = "correct-horse-battery" stands',
+        "groups": "my callback number: 0033 1 23 45 67 89 and more",
+        "line": "callback number\n743-555-2222 is it",
+    }
+    clean = [prose(900 + i, 40) for i in range(20)] + ["note: something long-winded", "he had 7654321 of them"]
+    clean += [f"the number: {1234567 + 11 * i} of the order" for i in range(6)]
+    return texts, unseen, clean
+
+
+def test_planted_identifiers_are_found_and_clean_texts_left(spark):
+    texts, unseen, clean = planted()
+    rows = list(enumerate([*texts, *unseen.values(), *clean]))
+    got = {r["doc_id"]: r for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shown = lambda i: [f"{pii.NAMES[s['kind']]}:{rows[i][1][s['start'] : s['end']]}" for s in got[i]["found"]]
+    assert all(len(got[i]["found"]) == 1 and shown(i)[0].startswith("secret:") for i in range(8))
+    assert all(not got[i]["found"] and got[i]["n_phone"] == 1 for i in range(8, 16))
+    assert [shown(16 + i) for i in range(3)] == [["secret:correct-horse-battery"], ["phone:0033 1 23 45 67 89"], ["phone:743-555-2222"]]
+    assert all(not got[i]["found"] and got[i]["spans"] == "" for i in range(19, len(rows)))
+
+
+def brute_found(texts, rounds=3, support=5, pattern=0.7, instance=0.7, beside=0.05):
+    """The scoring as plain loops over all candidates."""
+    seen = [(i, *c) for i, t in enumerate(texts) for c in pii.candidates(t, pii.base_spans(t))]
+    of = lambda x: texts[x[0]][x[1] : x[2]].lower()
+    words = collections.Counter(w for t in texts for w in regex.split(r"[^\p{L}\p{N}]+", re.sub("[0-9]", "0", t.lower())) if w)
+    members, uses, seeds = collections.defaultdict(set), collections.Counter(), set()
+    for x in seen:
+        for p in x[5]:
+            members[p].add(of(x))
+            uses[p, of(x)] += 1
+            if x[3] is not None:
+                seeds.add((of(x), x[3]))
+    known, trusted = {k: 1.0 for k in seeds}, {}
+    for _ in range(rounds):
+        trusted = {}
+        for p, all_of in members.items():
+            for k in range(len(pii.NAMES)):
+                hits = [x for x in all_of if (x, k) in known]
+                places = min((words[w] for w in p[2:].split(" ") if words[w]), default=None)
+                used = sum(uses[p, x] for x in hits)
+                worth = sum(known[x, k] for x in hits) / len(all_of)
+                if len(hits) >= support and worth >= pattern and used >= beside * (used if places is None else places):
+                    trusted[p, k] = worth
+        fresh = collections.defaultdict(set)
+        for x in seen:
+            if x[3] is None:
+                for p in x[5]:
+                    for k in x[4]:
+                        if (p, k) in trusted:
+                            fresh[of(x), k].add(p)
+        scores = {(s, k): 1 - np.prod([1 - min(trusted[p, k], 0.999) for p in ps]) for (s, k), ps in fresh.items()}
+        known = {k: 1.0 for k in seeds} | {k: v for k, v in scores.items() if v >= instance}
+    out = set()
+    for x in seen:
+        if x[3] == pii.SECRET:
+            out.add((x[0], x[1], x[2], x[3]))
+        elif x[3] is None:
+            led = [(-known[of(x), k], k) for k in x[4] if (of(x), k) in known and any((p, k) in trusted for p in x[5])]
+            if led:
+                out.add((x[0], x[1], x[2], min(led)[1]))
+    return out
+
+
+def test_scoring_equals_brute_force(spark):
+    rng, (texts, unseen, clean) = random.Random(22), planted()
+    many = [*texts, *unseen.values(), *clean, texts[0], texts[0]]
+    labels = ["id", "call", "ip", "card", "mail me"]
+    for _ in range(120):
+        value = rng.choice([f"+1 (743) 555-{rng.randint(1000, 9999)}", f"0{rng.randint(10**8, 10**9)}", f"10.0.{rng.randint(0, 300)}.{rng.randint(0, 9)}", f"a{rng.randint(0, 99)}@b.example", f"x{rng.randint(0, 9)}@local", str(rng.randint(10**13, 10**14))])
+        many.append(f"{prose(rng.randint(0, 10**6), 3)} {rng.choice(labels)}{rng.choice([' ', ': ', '='])}{value} {rng.choice(['now', 'end', 'the'])}")
+    frame = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string").repartition(5)
+    got = {(r["doc_id"], s["start"], s["end"], s["kind"]) for r in pii.extract(frame).collect() for s in r["found"]}
+    want = brute_found(many)
+    assert got == want and len(want) > 15 and len({k for *_, k in want}) > 2
+
+
 # ------------------------------------------------------------------ op2
 
 
@@ -184,6 +266,14 @@ def test_shards_are_written_whole(spark, docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.where("doc_id >= 100").count()
 
 
+def test_shards_of_tables_with_the_same_columns(spark, tmp_path):
+    rows = [(i % 3, "text" * 50, "s", 5, 7) for i in range(300)] + [(9, None, "s", 5, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard_id string, id int, key int")
+    name = sharding.write_shards(docs, str(tmp_path / "s"), max_bytes=5000)
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert name == "_shard_id" and sorted(map(tuple, got.drop(name).select(docs.columns).collect()), key=str) == sorted(rows, key=str)
+
+
 # ------------------------------------------------------------------ op4
 
 
@@ -196,6 +286,16 @@ def test_fitted_weights_meet_their_targets(spark):
             assert abs(sum(r["weight"] for r in got if r[dim] == v) - share) < 1e-6
 
 
+def test_gaps_tell_what_is_missing(spark):
+    cells = spark.createDataFrame([("a", "x", 10.0), ("b", "y", 30.0)], "s string, l string, tokens double")
+    apart = {"s": {"a": 0.5, "b": 0.5}, "l": {"x": 0.2, "y": 0.8}}
+    told = {(r["dim"], r["value"]): r for r in mixing.gaps(mixing.rake(cells, apart, sweeps=6), apart).collect()}
+    assert abs(told["s", "a"]["gap"] - 0.3) < 1e-9 and told["l", "x"]["gap"] < 1e-9 and told["l", "x"]["target"] == 0.2
+    cells = spark.createDataFrame([(s, x, float(1 + i)) for i, (s, x) in enumerate((s, x) for s in "abc" for x in "xy")], "s string, l string, tokens double")
+    targets = {"s": 0.5, "l": {"x": 0.6, "y": 0.4}}
+    assert mixing.gaps(mixing.rake(cells, targets, sweeps=60), targets).agg(F.max("gap")).first()[0] < 1e-12
+
+
 def test_unnamed_values_share_the_rest_and_nulls_count(spark, docs):
     dims = {"source": F.col("source"), "lang": F.col("lang")}
     out = mixing.mix(docs, dims, {"source": 1.0, "lang": {"en": 0.5}}, sweeps=30).collect()
@@ -407,6 +507,34 @@ def test_classes_equal_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got.values())
 
 
+def test_blocks_lose_no_link(spark, monkeypatch):
+    """Buckets larger than a block: variants around the threshold of a few texts, each compared with all."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "SHARED", 4)
+    rng, rows = random.Random(14), []
+    for family in range(3):
+        base = prose(5000 + family, 100).split()
+        for _ in range(45):
+            words = list(base)
+            for _ in range(rng.choice([1, 2, 3])):
+                words[rng.randrange(len(words))] = f"e{rng.randint(0, 999)}"
+            rows.append((len(rows), " ".join(words)))
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in rows:
+        for j, t in rows:
+            if i < j and probability_jaccard(bag(s), bag(t)) >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in parent}
+
+
 def test_rows_of_one_id_and_null_ids(spark, docs):
     got = minhash.near_duplicates(docs).collect()
     classes = {r["doc_id"]: r["class_id"] for r in got}
@@ -578,6 +706,13 @@ def test_measures_equal_brute_force(spark, docs):
             assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_quality(r["text"]), r["doc_id"]
 
 
+def test_helper_columns_of_the_input_stay(spark):
+    frame = spark.createDataFrame([(1, "a b c d e " * 4, 5, "w", "t")], "doc_id long, text string, _words int, __lines string, _Text string")
+    got = quality.score(frame).first()
+    assert (got["_words"], got["__lines"], got["_Text"], got["n_words"], got["n_repeat_words"]) == (5, "w", "t", 20, 20)
+    assert {c for c in quality.score(frame).columns if c.startswith("_")} == {"_words", "__lines", "_Text"}
+
+
 def test_rules_are_named(spark):
     row = spark.createDataFrame([(1, " ".join(f"word{i} ###" for i in range(40)))], "doc_id long, text string")
     assert quality.score(row).first()["failed_rules"] == ["1:symbol_ratio", "2:stop_word_ratio"]
