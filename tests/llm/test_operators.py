@@ -168,14 +168,20 @@ def brute_found(texts, rounds=3, support=5, pattern=0.7, instance=0.7, beside=0.
 def test_scoring_equals_brute_force(spark):
     rng, (texts, unseen, clean) = random.Random(22), planted()
     many = [*texts, *unseen.values(), *clean, texts[0], texts[0]]
-    labels = ["id", "call", "ip", "card", "mail me"]
-    for _ in range(120):
-        value = rng.choice([f"+1 (743) 555-{rng.randint(1000, 9999)}", f"0{rng.randint(10**8, 10**9)}", f"10.0.{rng.randint(0, 300)}.{rng.randint(0, 9)}", f"a{rng.randint(0, 99)}@b.example", f"x{rng.randint(0, 9)}@local", str(rng.randint(10**13, 10**14))])
-        many.append(f"{prose(rng.randint(0, 10**6), 3)} {rng.choice(labels)}{rng.choice([' ', ': ', '='])}{value} {rng.choice(['now', 'end', 'the'])}")
+    made = {
+        "call": lambda: rng.choice([f"+1 (743) 555-{rng.randint(1000, 9999)}"] * 3 + [f"0{rng.randint(10**8, 10**9)}"]),
+        "host": lambda: f"10.0.{rng.randint(0, 300)}.{rng.randint(0, 9)}",
+        "mail me": lambda: rng.choice([f"a{rng.randint(0, 99)}@b.example"] * 3 + [f"x{rng.randint(0, 9)}@local"]),
+        "id": lambda: str(rng.randint(10**13, 10**14)),
+    }
+    for _ in range(160):
+        kind = rng.choice(list(made))
+        label = kind if rng.random() < 0.9 else rng.choice(list(made))
+        many.append(f"{prose(rng.randint(0, 10**6), 3)} {label}{rng.choice([' ', ': ', '='])}{made[kind]()} {rng.choice(['now', 'end', 'the'])}")
     frame = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string").repartition(5)
     got = {(r["doc_id"], s["start"], s["end"], s["kind"]) for r in pii.extract(frame).collect() for s in r["found"]}
     want = brute_found(many)
-    assert got == want and len(want) > 15 and len({k for *_, k in want}) > 2
+    assert got == want and len(want) > 15 and len({k for *_, k in want}) > 1
 
 
 # ------------------------------------------------------------------ op2
