@@ -218,11 +218,42 @@ QUALITY = ", ".join(
 AUDIT = """a AS (SELECT ticker, count(*) AS n_rows, min(session_date) AS first_date, max(session_date) AS last_date, count(DISTINCT session_date) AS n_dates, count(*) - count(DISTINCT session_date) AS duplicate_rows,
   CAST(0 AS BIGINT) AS missing_values, min(close) AS min_close, max(close) AS max_close, min(volume) AS min_volume, max(volume) AS max_volume FROM bars GROUP BY 1)"""
 
+IDS = "ids AS (SELECT ticker, session_date, row_number() OVER (ORDER BY session_date, ticker) - 1 AS row_id FROM clean)"
+SCALE = "fit AS (SELECT fold_id, " + ", ".join(f"avg({f}) AS {f}_c, stddev_pop({f}) AS {f}_s" for f in FEATURES) + " FROM roles WHERE status = 'kept' AND role = 'train' GROUP BY 1)"
+#: The training rows of each fold on a calendar of their own, and parts of them (z: fold_id, inner_fold, lo, hi).
+TRAINED = """tr AS (SELECT fold_id, ticker, session_date, dense_rank() OVER (PARTITION BY fold_id ORDER BY session_date) - 1 AS ti FROM roles WHERE status = 'kept' AND role = 'train'),
+tn AS (SELECT fold_id, max(ti) + 1 AS n FROM tr GROUP BY 1)"""
+INSIDE = ["ip AS (SELECT tr.*, inner_fold, lo, CASE WHEN ti < lo THEN 'fit' ELSE 'held' END AS part FROM tr JOIN z USING (fold_id) WHERE ti < hi)", "inside AS (SELECT *, lead(ti, 5) OVER (PARTITION BY fold_id, inner_fold, part, ticker ORDER BY ti) AS label FROM ip)"]
+
 _SQL: dict[str, str] = {
     "panel_summary": with_(VOL, f"v AS (SELECT *, {gated('stddev_samp', 'r', 20)} AS v FROM ret)")
     + "SELECT ticker, count(*) AS n_sessions, count(v) AS n_volatility, round(avg(r), 6) AS mean_return, round(avg(v), 6) AS mean_volatility, max(high) AS top, sum(volume) AS volume FROM v GROUP BY 1",
     "bars": with_() + "SELECT * FROM bars",
     "quality_report": with_(FAULTY) + f"SELECT {QUALITY} FROM f",
+    "order_report": with_("""o AS (SELECT ticker, session_date, lag(session_date) OVER (PARTITION BY ticker ORDER BY CASE WHEN CAST(regexp_extract(ticker, '(\\d+)', 1) AS INTEGER) % 2 = 1 THEN -1 ELSE 1 END * date_diff('day', DATE '1970-01-01', session_date)) AS before FROM bars)""")
+    + "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS duplicate_keys, count(DISTINCT CASE WHEN before > session_date THEN ticker END) AS unordered_tickers FROM o",
+    "repeated_keys": "SELECT l_partkey, l_suppkey, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "context_returns": with_(OWN) + f"SELECT ticker, session_date, {cols({f'stock_return_{n}d_context': f'q{n}' for n in (1, 5, 20)})} FROM own",
+    "split_manifest": with_(*ROLES, IDS, """h AS (SELECT fold_id, role, count(*) AS n, sum(CAST('0x' || substr(sha256(CAST(row_id AS VARCHAR)), 1, 15) AS HUGEINT)) AS a, sum(CAST('0x' || substr(sha256(CAST(row_id AS VARCHAR)), 16, 15) AS HUGEINT)) AS b
+  FROM roles JOIN ids USING (ticker, session_date) WHERE status = 'kept' GROUP BY 1, 2)""", f"c AS ({COUNTS})")
+    + "SELECT fold_id, " + ", ".join(f"max(CASE WHEN role = '{p}' THEN {x} END) AS n_{p}_{k}" for p in ("train", "val") for k, x in (("raw", "n_raw"), ("purged", "n_raw - n_kept"), ("final", "n_kept")))
+    + ", CAST(0 AS BIGINT) AS n_test, " + ", ".join(f"max(CASE WHEN role = '{p}' THEN sha256(n || ':' || a || ':' || b) END) AS {p}_index_hash, max(CASE WHEN role = '{p}' THEN CAST(first_date AS VARCHAR) END) AS {p}_first, max(CASE WHEN role = '{p}' THEN CAST(last_date AS VARCHAR) END) AS {p}_last" for p in ("train", "val"))
+    + " FROM c JOIN h USING (fold_id, role) GROUP BY 1",
+    "prepared_folds": with_(*ROLES, SCALE, f"v AS (SELECT fold_id, count(*) AS n_val, {', '.join(r(f'avg(({f} - {f}_c) / {f}_s)', f) for f in FEATURES)} FROM roles JOIN fit USING (fold_id) WHERE status = 'kept' AND role = 'val' GROUP BY 1)",
+        "t AS (SELECT fold_id, count(*) FILTER (status = 'kept') AS n_train, count(*) AS n_context FROM roles WHERE role = 'train' GROUP BY 1)") + "SELECT * FROM t JOIN v USING (fold_id)",
+    "gated_validation": with_(*ROLES, SCALE) + f"SELECT ticker, session_date, fold_id, {', '.join(r(f'({f} - {f}_c) / {f}_s', f) for f in FEATURES)} FROM roles JOIN fit USING (fold_id) WHERE status = 'kept' AND role = 'val'",
+    "inner_selection": with_(*ROLES, TRAINED, "z AS (SELECT fold_id, 0 AS inner_fold, n - greatest(5, CAST(ceil(n * 0.2::DOUBLE) AS BIGINT)) AS lo, n AS hi FROM tn)", *INSIDE)
+    + "SELECT fold_id, count(*) FILTER (part = 'fit' AND label < lo) AS fit_count, count(*) FILTER (part = 'fit') AS raw_count, count(*) FILTER (part = 'held') AS selection_count, min(CASE WHEN part = 'held' THEN session_date END) AS selection_start FROM inside GROUP BY 1",
+    "inner_fold_geometry": with_(*ROLES, TRAINED, """z AS (SELECT fold_id, 1 AS inner_fold, CAST(floor(n * 0.8::DOUBLE) AS BIGINT) - greatest(5, CAST(ceil(n * 0.2::DOUBLE) AS BIGINT)) AS lo, CAST(floor(n * 0.8::DOUBLE) AS BIGINT) AS hi FROM tn
+  UNION ALL SELECT fold_id, 2, n - greatest(5, CAST(ceil(n * 0.2::DOUBLE) AS BIGINT)), n FROM tn)""", *INSIDE)
+    + "SELECT fold_id, inner_fold, count(*) FILTER (part = 'fit') AS raw_fit_count, count(*) FILTER (part = 'fit' AND (label IS NULL OR label >= lo)) AS purged_fit_count, count(*) FILTER (part = 'held') AS selection_count, CAST(min(CASE WHEN part = 'held' THEN session_date END) AS VARCHAR) AS selection_start FROM inside GROUP BY 1, 2",
+    "experiment_baselines": with_(*ROLES, "fit AS (SELECT fold_id, avg(target_return_5d) AS c FROM roles WHERE status = 'kept' AND role = 'train' GROUP BY 1)",
+        "v AS (SELECT fold_id, target_return_5d AS y, c FROM roles JOIN fit USING (fold_id) WHERE status = 'kept' AND role = 'val')",
+        "mods AS (SELECT 'baseline_zero' AS model, fold_id, y, 0.0::DOUBLE AS p FROM v UNION ALL SELECT 'baseline_mean', fold_id, y, c FROM v)", regression("mods", "model, fold_id"))
+    + f"SELECT model, fold_id, {', '.join(f'round({m}, 6) + 0.0::DOUBLE AS {m}' for m in METRICS)} FROM m",
+    "sequence_values": with_(CLEAN, f"""q AS (SELECT ticker, session_date, row_number() {W} AS k,
+  string_agg(CAST(CAST(round(log_return_1d * 1000000, 0) AS BIGINT) AS VARCHAR) || ',' || CAST(CAST(round(volume_change_1d * 1000000, 0) AS BIGINT) AS VARCHAR), ';') {last(10)} AS sequence FROM clean)""")
+    + "SELECT ticker, session_date, sequence FROM q WHERE k >= 20",
     "audit_by_ticker": with_(AUDIT) + "SELECT * FROM a",
     "audit_totals": with_(AUDIT)
     + "SELECT count(*) AS n_tickers, CAST(sum(n_rows) AS BIGINT) AS total_rows, count(DISTINCT n_rows) AS distinct_lengths, count(DISTINCT first_date) AS distinct_starts, count(DISTINCT last_date) AS distinct_ends, CAST(sum(duplicate_rows) AS BIGINT) AS duplicate_rows, CAST(sum(missing_values) AS BIGINT) AS missing_values FROM a",
@@ -292,6 +323,8 @@ DAYS = {
     **dict.fromkeys(("regression_metrics", "classification_metrics", "macro_objective", "experiment_leaderboard"), ()),
     **dict.fromkeys(("audit_by_ticker", "walk_forward_folds", "walk_forward_rolling", "inner_folds"), ("first_date", "last_date")),
     "label_outcome_dates": ("session_date", "outcome_date"),
+    **dict.fromkeys(("order_report", "repeated_keys", "split_manifest", "prepared_folds", "inner_fold_geometry", "experiment_baselines"), ()),
+    "inner_selection": ("selection_start",),
 }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import context, metrics, prices, technical
-from strandline.operators import quality, scaling, splits
+from strandline.operators import joins, quality, scaling, splits
 from strandline.plans import dataset, experiment, search
 from strandline.session import ship
 from strandline.sources import panel
@@ -66,6 +66,17 @@ def quality_report(spark, d):
     return quality.quality_report(faulty_panel(spark, d)).drop("unordered_tickers")
 
 
+def order_report(spark, d):
+    """Order of days as rows came in: the tickers with an odd number came backwards."""
+    number, days = F.regexp_extract("ticker", r"(\d+)", 1).cast("int"), F.datediff("session_date", F.lit("1970-01-01"))
+    came = _bars(spark, d).withColumn("ingest_id", F.when(number % 2 == 1, -days).otherwise(days))
+    return quality.quality_report(came).select("n_rows", "duplicate_keys", "unordered_tickers")
+
+
+def repeated_keys(spark, d):
+    return joins.repeated_keys(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_partkey", "l_suppkey", "l_quantity"])
+
+
 def audit_by_ticker(spark, d):
     return quality.audit(_bars(spark, d))
 
@@ -139,6 +150,11 @@ def market_context(spark, d):
     return _pick(out, *context.MARKET_COLUMNS)
 
 
+def context_returns(spark, d):
+    out = context.market_context(panel.with_sector(_bars(spark, d)), market_index=_index(spark, d))
+    return _pick(out, *(f"stock_return_{n}d_context" for n in context.SPANS))
+
+
 def market_regime(spark, d):
     return context.regime(context.index_features(_index(spark, d))).select("session_date", *context.REGIME_COLUMNS)
 
@@ -230,6 +246,75 @@ def lookback_sequences(spark, d):
     return out.select(*KEYS, text.alias("sequence"))
 
 
+def sequence_values(spark, d):
+    """The vectors a sequence model reads, to six decimals."""
+    out = dataset.lookback_sequences(_clean(spark, d), ("log_return_1d", "volume_change_1d"), lookback=10, max_lookback=20)
+    text = F.concat_ws(";", F.transform("sequence", lambda v: F.concat_ws(",", F.transform(v, lambda x: F.round(x * 1000000, 0).cast("long").cast("string")))))
+    return out.select(*KEYS, text.alias("sequence"))
+
+
+def _folds(spark: SparkSession, d: str) -> list[experiment.FoldBundle]:
+    built = dataset.build_dataset(_dataset_frame(spark, d), feature_columns=FEATURES, target_columns=("target_return_5d",))
+    return experiment.walk_forward(built, min_train_sessions=1000, val_sessions=400, target_horizon=5)
+
+
+def split_manifest(spark, d):
+    """What identifies each fold: counts, bounds, and a digest of its rows."""
+    columns = ["fold_id", *(f"n_{role}_{k}" for role in ("train", "val") for k in ("raw", "purged", "final")), "n_test", "train_index_hash", "val_index_hash"]
+    rows = [(*(getattr(b.manifest, c) for c in columns), *b.manifest.train_date_bounds, *b.manifest.val_date_bounds) for b in _folds(spark, d)]
+    kinds = "fold_id int, " + ", ".join(f"{c} {'string' if c.endswith('hash') else 'long'}" for c in columns[1:])
+    return spark.createDataFrame(rows, f"{kinds}, train_first string, train_last string, val_first string, val_last string")
+
+
+def prepared_folds(spark, d):
+    """Rows of each fold's parts, and its validation features on the scale of its training rows."""
+    parts = []
+    for b in _folds(spark, d):
+        sizes = b.train.agg(F.count("*").alias("n_train")).crossJoin(F.broadcast(b.context_raw.agg(F.count("*").alias("n_context"))))
+        means = b.val.agg(F.count("*").alias("n_val"), *(F.round(F.avg(f), 6).alias(f) for f in b.features))
+        # One row each.
+        parts.append(sizes.crossJoin(F.broadcast(means)).withColumn("fold_id", F.lit(b.fold_id)))
+    return experiment.union_all(parts)
+
+
+def gated_validation(spark, d):
+    """Validation rows as the gate hands them out, once the configuration is frozen."""
+    opened = [experiment.ValidationGate(b).freeze().open().bundle() for b in _folds(spark, d)]
+    return experiment.union_all([b.val.select(*KEYS, F.lit(b.fold_id).alias("fold_id"), *(F.round(f, 6).alias(f) for f in b.features)) for b in opened])
+
+
+def inner_selection(spark, d):
+    """The holdout inside each fold's training rows on which a model chooses its iteration."""
+    spec, parts = dataset.target_spec("target_return_5d"), []
+    for b in _folds(spark, d):
+        fit, held, before = experiment.inner_holdout(b.train, spec)
+        n = fit.agg(F.count("*").alias("fit_count")).crossJoin(F.broadcast(before.agg(F.count("*").alias("raw_count"))))
+        # One row each.
+        n = n.crossJoin(F.broadcast(held.agg(F.count("*").alias("selection_count"), F.min("session_date").alias("selection_start"))))
+        parts.append(n.withColumn("fold_id", F.lit(b.fold_id)))
+    return experiment.union_all(parts)
+
+
+def inner_fold_geometry(spark, d):
+    """The search protocol's two inner folds inside each fold's training rows."""
+    names = ("raw_fit_count", "purged_fit_count", "selection_count", "selection_start")
+    rows = [(b.fold_id, f.fold_id, *(f.geometry[k] for k in names)) for b in _folds(spark, d) for f in experiment.inner_folds(b, target_horizon=5)]
+    return spark.createDataFrame(rows, "fold_id int, inner_fold int, raw_fit_count long, purged_fit_count long, selection_count long, selection_start string")
+
+
+def experiment_baselines(spark, d):
+    """Baselines trained and scored fold by fold, as the runner does it for any model."""
+    from strandline.plans.models import Baseline
+
+    rows = []
+    for strategy in ("zero", "mean"):
+        done = experiment.run_across_folds(lambda s=strategy: Baseline(s), _folds(spark, d), "target_return_5d")
+        rows += [(done.model, r.fold_id, *(r.metrics[m] for m in metrics.REGRESSION)) for r in done.folds]
+    out = spark.createDataFrame(rows, "model string, fold_id int, " + ", ".join(f"{m} double" for m in metrics.REGRESSION))
+    # A rounded -0.0 becomes 0.0.
+    return out.select("model", "fold_id", *((F.round(m, 6) + 0.0).alias(m) for m in metrics.REGRESSION))
+
+
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
     """A simple per-row predictor, so that metrics have varied inputs: minus a tenth of the last return."""
     kept = _roles(spark, d).where("status = 'kept' and role = 'val'")
@@ -320,6 +405,6 @@ QUERIES: dict[str, Query] = {
     for f in (
         panel_summary, bars, quality_report, audit_by_ticker, audit_totals, audit_row_histogram, log_returns, price_shape, targets, volatility, volume_features, sma_ratios, bollinger, trend_slope, stochastic, ema, macd, rsi, dmi_adx,
         technical_all, market_context, market_regime, sector_context, cross_asset, context_all, information_cutoff_violations, model_dataset, label_outcome_dates, chronological_roles, walk_forward_folds, walk_forward_rolling, purge_counts,
-        inner_folds, scaler_standard, scaler_robust, scaled_validation, lookback_sequences, baseline_predictions, regression_metrics, classification_metrics, macro_objective, experiment_leaderboard, event_bars, gbt_predictions, search_trials,
+        inner_folds, inner_selection, inner_fold_geometry, split_manifest, prepared_folds, gated_validation, experiment_baselines, order_report, repeated_keys, context_returns, sequence_values, scaler_standard, scaler_robust, scaled_validation, lookback_sequences, baseline_predictions, regression_metrics, classification_metrics, macro_objective, experiment_leaderboard, event_bars, gbt_predictions, search_trials,
     )
 }
