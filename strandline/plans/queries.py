@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -346,7 +347,8 @@ def experiment_leaderboard(spark, d):
     """Three models over the folds in one job: their predictions stand side by side."""
     base = _predicted(spark, d)
     kinds = {"reversal": F.col("y_pred"), "momentum": -F.col("y_pred"), "zero": F.lit(0.0)}
-    models = experiment.union_all([base.select("fold_id", "y_true", c.alias("y_pred"), F.lit(m).alias("model")) for m, c in kinds.items()])
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), c.alias("y_pred")) for m, c in kinds.items())))
+    models = base.select("fold_id", "y_true", each.alias("k")).select("fold_id", "y_true", "k.*")
     means = experiment.fold_means(metrics.regression_metrics(models, ("model", "fold_id")), metrics.REGRESSION)
     board = experiment.leaderboard(means, primary_metric="rmse")
     return board.select("model", *(F.round(m, 6).alias(m) for m in metrics.REGRESSION))
@@ -381,9 +383,21 @@ def gbt_predictions(spark, d):
 
 
 def search_trials(spark, d):
-    """The sampler on a function whose best point is known."""
-    study = search.Study("probe", search.space("XGBoost")["parameters"])
-    study.optimise(lambda t: (t.params["max_depth"] - 5) ** 2 + (t.params["subsample"] - 0.7) ** 2, 30)
+    """The sampler on the protocol's inner folds: how much of the last return to predict back.
+
+    The error of that one-parameter model follows from each fold's second moments, so one
+    aggregate over the selection rows serves all trials.
+    """
+    y, x = F.col("target_return_5d"), F.col("log_return_1d")
+    kept = splits.inner_folds(_clean(spark, d), target_horizon=5).where("role = 'val' and status = 'kept'")
+    moments = kept.groupBy("fold_id").agg(F.avg(y * y).alias("yy"), F.avg(x * y).alias("xy"), F.avg(x * x).alias("xx")).collect()  # two folds
+
+    def relative_rmse(trial) -> float:
+        k = trial.params["learning_rate"]
+        return metrics.finite_mean([math.sqrt((m["yy"] + 2 * k * m["xy"] + k * k * m["xx"]) / m["yy"]) for m in moments], label="relative_rmse")
+
+    study = search.Study("reversal", search.space("XGBoost")["parameters"])
+    study.optimise(relative_rmse, 30)
     search.validate_study(study)
     return search.trials_frame(spark, study)
 
