@@ -32,9 +32,9 @@ from strandline.llm.components import components
 BLOCK = 4096
 #: From this many members on a bucket has a few blocks, so that several tasks share it.
 SHARED, FEW_BLOCKS = 512, 3
-#: Places of a node's partners, best first, that go to verification in one round.  When less
-#: than half of a round's pairs are links, all that is left follows at once.
-WINDOWS = ((0, 2), (2, 8), (8, 32), (32, None))
+#: Partners that a node puts forward in one group and round, best first.  When less than half of
+#: a round's pairs are links, all that is left follows at once.
+FEW = 2
 #: Registers of the candidates' own, finer signatures.
 FINE = 1024
 
@@ -189,29 +189,38 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
 _TARGET, _PROPOSER, _BOTH = 0, 1, 2
 
 
-def _put_forward(least: float, window: tuple[int, int | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of different components whose signatures agree enough and whose place among the
-    partners that a node had when blocks were dealt lies in the window."""
+def _put_forward(least: float, few: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of different components whose signatures agree enough, and how far each node has come.
+
+    A node goes through its partners in a fixed order, that of the time when blocks were dealt, from
+    its cursor on; those of its own component by now are passed over.
+    """
+    names = ("a", "b", "key", "block", "id", "cursor")
+    schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ("key", "block")):
-            ids, first, label, role, star = (np.asarray(group.column(c)) for c in ("id", "first_label", "label", "role", "star"))
+            ids, first, label, role, star, cursor = (np.asarray(group.column(c)) for c in ("id", "first_label", "label", "role", "star", "cursor"))
             table = np.stack([np.frombuffer(x, dtype=np.uint8) for x in group.column("signature").to_pylist()])
-            key, keys = group.column("key")[0].as_py(), [set(k) for k in group.column("keys").to_pylist()]
-            found: list[tuple[int, int]] = []
+            key, block = group.column("key")[0].as_py(), group.column("block")[0].as_py()
+            keys = [set(k) for k in group.column("keys").to_pylist()]
+            rows: list[tuple] = []
             for i in np.flatnonzero(role != _TARGET):
                 open_to = (first != first[i]) & ((role == _TARGET) | ((role == _BOTH) & (role[i] == _BOTH) & (ids > ids[i])))
                 at = np.flatnonzero(open_to & (ids != star[i]) & (star != ids[i]))
                 agree = (table[at] == table[i]).mean(axis=1)
                 at, agree = at[agree >= least], agree[agree >= least]
-                at = at[np.lexsort((ids[at], -agree))][slice(*window)]
-                for j in at[label[at] != label[i]]:
-                    # The pair comes from the first bucket it shares.
-                    if min(keys[i] & keys[j]) == key:
-                        found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
-            if found:
-                a, b = zip(*sorted(found), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                at = at[np.lexsort((ids[at], -agree))]
+                apart = np.flatnonzero(label[at] != label[i])
+                apart = apart[apart >= cursor[i]][:few]
+                for j in at[apart]:
+                    # At last a pair comes from the first bucket it shares only.
+                    if few is not None or min(keys[i] & keys[j]) == key:
+                        rows.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j])), None, None, None, None))
+                if few is not None and len(apart):
+                    rows.append((None, None, key, block, int(ids[i]), int(apart[-1]) + 1))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
     return run
 
@@ -258,20 +267,25 @@ def near_duplicates(
     least = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / FINE)
     links = verified.where(F.col("similarity") >= threshold)
     labels = components(links)
-    dealt = _dealt(members, labels, stars)
-    window = WINDOWS[0]
+    dealt, few = _dealt(members, labels, stars), FEW
     while True:
-        pairs = _cross_pairs(dealt, labels, signatures, least, window)
+        put = _cross_pairs(dealt, labels, signatures, least, few)
+        pairs = cut(put.where("a is not null").select("a", "b").distinct(), "pairs")
         n_pairs, n_links = pairs.count(), 0
         if n_pairs:
             tried = _verified(pairs, texts, shingle)
             if n_links := tried.where(F.col("similarity") >= threshold).count():
                 links = links.unionByName(tried.where(F.col("similarity") >= threshold))
                 labels = components(links)
-        discard(pairs)
-        if window[1] is None:
+        if few is not None and n_pairs:
+            come = put.where("a is null").select("key", "block", "id", F.col("cursor").alias("upto"))
+            moved = dealt.join(come, ["key", "block", "id"], "left").withColumn("cursor", F.coalesce("upto", "cursor")).drop("upto")
+            before, dealt = dealt, cut(moved, "dealt")
+            discard(before)
+        discard(pairs, put)
+        if few is None or not n_pairs:
             break
-        window = WINDOWS[WINDOWS.index(window) + 1] if 2 * n_links > n_pairs else (window[1], None)
+        few = FEW if 2 * n_links > n_pairs else None
     discard(dealt, signatures, texts, members, stars)
     # Rows of one id are one document, so an id may join the classes of two texts.
     owned = cut(signed.select("doc_id", "digest").join(nodes.select("digest", "id"), "digest", "left").select("doc_id", "id"), "owned")
@@ -298,7 +312,7 @@ def _blocks(n: Column) -> Column:
 
 def _dealt(members: DataFrame, labels: DataFrame, stars: DataFrame) -> DataFrame:
     """The members of buckets with several components, dealt out in groups of two blocks: key, block,
-    id, role, first_label (the component at this time), star.
+    id, role, first_label (the component at this time), star, cursor.
 
     A group has a block q of the others, which are compared with the p-th block: first those of the
     largest component, then the others after q; within itself a block q is compared in its first group.
@@ -324,13 +338,14 @@ def _dealt(members: DataFrame, labels: DataFrame, stars: DataFrame) -> DataFrame
     )
     spread = spread.withColumn("g", F.explode(F.when(is_major, as_major).otherwise(as_other)))
     spread = spread.select("key", F.col("g.block").alias("block"), "id", F.col("g.role").alias("role"), F.col("label").alias("first_label"))
-    return cut(spread.join(stars, "id", "left").withColumn("star", F.coalesce("star", "id")), "dealt")
+    return cut(spread.join(stars, "id", "left").withColumns({"star": F.coalesce("star", "id"), "cursor": F.lit(0).cast("long")}), "dealt")
 
 
-def _cross_pairs(dealt: DataFrame, labels: DataFrame, signatures: DataFrame, least: float, window: tuple[int, int | None]) -> DataFrame:
-    """Pairs of different components in one bucket that are to be verified now."""
+def _cross_pairs(dealt: DataFrame, labels: DataFrame, signatures: DataFrame, least: float, few: int | None) -> DataFrame:
+    """a, b: pairs of different components in one bucket that are to be verified now; and rows of
+    key, block, id, cursor."""
     labelled = dealt.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = labelled.groupBy("key", "block").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key", "block")
     full = labelled.join(mixed, ["key", "block"]).join(signatures, "id")
     rows = full.repartition(partitions(dealt.sparkSession), "key", "block").sortWithinPartitions("key", "block", "id")
-    return cut(rows.mapInArrow(_put_forward(least, window), "a long, b long").distinct(), "pairs")
+    return cut(rows.mapInArrow(_put_forward(least, few), "a long, b long, key long, block long, id long, cursor long"), "put")
