@@ -185,8 +185,9 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.concat_tables(held)
 
 
-#: What a row is in its group: compared with, comparing, or both.
-_TARGET, _PROPOSER, _BOTH = 0, 1, 2
+#: What a row is in its group: of the largest component; or of the others, on its one side, within
+#: one block, or on its other side.
+_LARGEST, _ONE_SIDE, _WITHIN, _OTHER_SIDE = 0, 1, 2, 3
 
 
 def _put_forward(least: float, few: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -205,17 +206,18 @@ def _put_forward(least: float, few: int | None) -> Callable[[Iterator[pa.RecordB
             key, block = group.column("key")[0].as_py(), group.column("block")[0].as_py()
             keys = [set(k) for k in group.column("keys").to_pylist()]
             rows: list[tuple] = []
-            for i in np.flatnonzero(role != _TARGET):
-                open_to = (first != first[i]) & ((role == _TARGET) | ((role == _BOTH) & (role[i] == _BOTH) & (ids > ids[i])))
-                at = np.flatnonzero(open_to & (ids != star[i]) & (star != ids[i]))
+            facing = {_ONE_SIDE: (role == _LARGEST) | (role == _OTHER_SIDE), _WITHIN: (role == _LARGEST) | (role == _WITHIN), _OTHER_SIDE: role == _ONE_SIDE}
+            for i in np.flatnonzero(role != _LARGEST):
+                at = np.flatnonzero(facing[role[i]] & (first != first[i]) & (ids != star[i]) & (star != ids[i]))
                 agree = (table[at] == table[i]).mean(axis=1)
                 at, agree = at[agree >= least], agree[agree >= least]
                 at = at[np.lexsort((ids[at], -agree))]
                 apart = np.flatnonzero(label[at] != label[i])
                 apart = apart[apart >= cursor[i]][:few]
                 for j in at[apart]:
-                    # At last a pair comes from the first bucket it shares only.
-                    if few is not None or min(keys[i] & keys[j]) == key:
+                    # At last a pair comes from one side, and from the first bucket it shares only.
+                    once = role[j] == _LARGEST or role[i] == _ONE_SIDE or (role[i] == _WITHIN and ids[i] < ids[j])
+                    if few is not None or (once and min(keys[i] & keys[j]) == key):
                         rows.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j])), None, None, None, None))
                 if few is not None and len(apart):
                     rows.append((None, None, key, block, int(ids[i]), int(apart[-1]) + 1))
@@ -329,12 +331,12 @@ def _dealt(members: DataFrame, labels: DataFrame, stars: DataFrame) -> DataFrame
     spread = spread.withColumn("home", home)
     place = lambda q, p, role: F.struct((q * (F.col("p") + F.col("q")) + p).cast("long").alias("block"), F.lit(role).alias("role"))
     upto = lambda first, end: F.filter(F.sequence(F.lit(0), end - 1), lambda x: x >= first)
-    as_major = F.transform(upto(F.lit(0), F.col("q")), lambda q: place(q, F.col("home"), _TARGET))
+    as_major = F.transform(upto(F.lit(0), F.col("q")), lambda q: place(q, F.col("home"), _LARGEST))
     as_other = F.concat(
-        F.array(place(F.col("home"), F.lit(0), _BOTH)),
-        F.transform(upto(F.lit(1), F.col("p")), lambda p: place(F.col("home"), p, _PROPOSER)),
-        F.transform(upto(F.col("home") + 1, F.col("q")), lambda q: place(F.col("home"), F.col("p") + q, _PROPOSER)),
-        F.transform(F.filter(F.sequence(F.lit(0), F.col("q") - 1), lambda q: q < F.col("home")), lambda q: place(q, F.col("p") + F.col("home"), _TARGET)),
+        F.array(place(F.col("home"), F.lit(0), _WITHIN)),
+        F.transform(upto(F.lit(1), F.col("p")), lambda p: place(F.col("home"), p, _ONE_SIDE)),
+        F.transform(upto(F.col("home") + 1, F.col("q")), lambda q: place(F.col("home"), F.col("p") + q, _ONE_SIDE)),
+        F.transform(F.filter(F.sequence(F.lit(0), F.col("q") - 1), lambda q: q < F.col("home")), lambda q: place(q, F.col("p") + F.col("home"), _OTHER_SIDE)),
     )
     spread = spread.withColumn("g", F.explode(F.when(is_major, as_major).otherwise(as_other)))
     spread = spread.select("key", F.col("g.block").alias("block"), "id", F.col("g.role").alias("role"), F.col("label").alias("first_label"))
