@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -188,6 +189,20 @@ def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, in
         first = end
 
 
+_SPACE_BYTE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(raw: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """A text's bytes in pieces that end at white space, so that no word is cut: each as short as
+    that allows from ``most`` bytes on."""
+    first = 0
+    while first < len(raw):
+        space = _SPACE_BYTE.search(raw, first + most) if first + most < len(raw) else None
+        end = space.end() if space else len(raw)
+        yield raw[first:end]
+        first = end
+
+
 def whole_row(docs: DataFrame) -> Column:
     """All columns as one struct, so that columns of any name travel untouched; ``row.*`` brings them back."""
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import exact, langid, minhash, mixing, packing, pii, quality, sharding, substring, warc
+from strandline.llm import audit, exact, fingerprint, langid, minhash, mixing, negatives, packing, pii, quality, sharding, substring, warc
 from strandline.llm.common import scratch
 from strandline.session import shipped
 
@@ -79,6 +79,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), anchor=F.col("vec_id") % 50 == 0)
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(audit.histograms(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_facts(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = f"""
 WITH d AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
@@ -189,6 +202,65 @@ SELECT page_id, CAST(strlen(b) AS BIGINT) AS payload_bytes,
 FROM m
 """
 
+OP11_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CASE WHEN len(c.v) = 0 THEN 0 ELSE CAST(list_inner_product(a.v, c.v) AS BIGINT) END AS score
+  FROM r a JOIN r c ON len(a.v) = len(c.v)
+  WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+OP12_SQL = r"""
+WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+t AS (
+  SELECT d.doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id),
+f AS (
+  SELECT part, good, toxic,
+         CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM t),
+h AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS earlier
+  FROM o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+m AS (SELECT *, contains(fails, own) AS failing, translate(earlier, fails, '') <> earlier AS gone FROM s, h),
+r AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN NOT failing AND NOT gone THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN failing AND NOT gone THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN failing AND gone THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN failing AND NOT gone THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN failing AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM m GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
 _QUERIES: dict[str, Query] = {
     "op1_bootstrapped_pii": op1_bootstrapped_pii,
     "op2_warc_transactions": op2_warc_transactions,
@@ -200,6 +272,9 @@ _QUERIES: dict[str, Query] = {
     "op8_content_sort": op8_content_sort,
     "op9_word_backoff": op9_word_backoff,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_interactions": op12_filter_interactions,
+    "op13_one_permutation_minhash": op13_one_permutation_minhash,
 }
 
 QUERIES: dict[str, Query] = {name: shipped(f) for name, f in _QUERIES.items()}
@@ -211,4 +286,6 @@ SQL: dict[str, str] = {
     "op6_relative_parsing": OP6_SQL,
     "op8_content_sort": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_filter_interactions": OP12_SQL,
 }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandline.llm import exact, langid, minhash, mixing, packing, pii, quality, queries, sharding, substring, warc
 from strandline.llm.components import components
 from tests.compare import assert_same, duck
-from tests.llm.fixtures import documents, pages, prose
+from tests.llm.fixtures import documents, embeddings, labels, pages, prose
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +26,8 @@ def tables(spark, docs, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("tables"))
     docs.write.parquet(f"{folder}/documents.parquet")
     pages(spark).write.parquet(f"{folder}/pages.parquet")
+    embeddings(spark).write.parquet(f"{folder}/embeddings.parquet")
+    labels(spark).write.parquet(f"{folder}/labels.parquet")
     return folder
 
 
@@ -34,6 +36,8 @@ def empty(spark, docs, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
     docs.limit(0).write.parquet(f"{folder}/documents.parquet")
     pages(spark).limit(0).write.parquet(f"{folder}/pages.parquet")
+    embeddings(spark).limit(0).write.parquet(f"{folder}/embeddings.parquet")
+    labels(spark).limit(0).write.parquet(f"{folder}/labels.parquet")
     return folder
 
 
@@ -54,6 +58,10 @@ def test_awkward_tables_give_a_row_each(spark, tables, name):
         assert len(out) == 57
     elif name.startswith("op5"):
         assert {r["doc_id"] for r in out} >= {1, 4, 5, None}
+    elif name.startswith("op11"):
+        assert {r["anchor_id"] for r in out} >= {0, 1000, 1050, 350, 400}
+    elif name.startswith("op12"):
+        assert len(out) == 4 * 600
     else:
         assert len(out) == documents(spark).count()
 
