@@ -118,8 +118,8 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return np.where(a[1] & b[1], estimate, (a[1] == b[1]).astype(np.float64))
 
 
-def _written(rows: tuple[np.ndarray, np.ndarray]) -> list[str]:
-    return [base64.b64encode(x.tobytes()).decode() if some else "" for x, some in zip(*rows, strict=True)]
+def _raw(rows: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    return [x.tobytes() if some else b"" for x, some in zip(*rows, strict=True)]
 
 
 def _read(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +142,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for first, end, _, _ in text_slices(batch.column("_fingerprinted")):
             rows = batch.slice(first, end - first)
             text = rows.column("_fingerprinted")
-            yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array(_written(packed(text)))], names=["row", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array([base64.b64encode(x).decode() for x in _raw(packed(text))])], names=["row", "fingerprint"])
 
 
 def fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -154,8 +154,8 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 # ------------------------------------------------------- a text, its edit and its neighbour
 
-_FACTS = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-_FACTS_SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FACTS = [("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+_FACTS_SCHEMA = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def edited(text: str, following: str) -> str:
@@ -167,7 +167,7 @@ def edited(text: str, following: str) -> str:
 def _facts(texts: list[str], following: list[str], own: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
     edits = [edited(a, b) for a, b in zip(texts, following, strict=True)]
     changed = packed(pa.array(edits, pa.large_string()))
-    columns = [[len(t) for t in texts], [hashlib.sha256(e.encode()).hexdigest() for e in edits], _written(own), _written(changed), likeness(own, changed), likeness(own, after)]
+    columns = [[len(t) for t in texts], [hashlib.sha256(e.encode()).digest() for e in edits], _raw(own), _raw(changed), likeness(own, changed), likeness(own, after)]
     return [pa.array(c, kind) for c, (_, kind) in zip(columns, _FACTS, strict=True)]
 
 
@@ -215,7 +215,7 @@ def edit_facts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     first, which may be the document itself.  A null text counts as empty.  Rows equal in id and text
     may stand in either order; they give equal rows but for the last of them.  Whole texts move once, to
     ranges of ids; a range is read as a stream that holds one text beside the batch, and where ranges
-    meet, one text of each side is joined.
+    meet, one text of each side is joined.  What is written in between holds bytes, not their text form.
     """
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
@@ -229,4 +229,5 @@ def edit_facts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     meets = meets.join(heads.select(F.col("part").alias("next"), F.col("raw").alias("following")), "next")
     ends = meets.select("id", "raw", "following").mapInArrow(_ends, f"id {kind}, {_FACTS_SCHEMA}")
     out = passed.where(F.col("kind") == _WHOLE).select("id", *(name for name, _ in _FACTS)).unionByName(ends)
-    return out.withColumnRenamed("id", id_col)
+    as_text = {"edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": F.base64("fingerprint"), "edited_fingerprint": F.base64("edited_fingerprint")}
+    return out.withColumns(as_text).withColumnRenamed("id", id_col)

@@ -59,7 +59,7 @@ def test_awkward_tables_give_a_row_each(spark, tables, name):
     elif name.startswith("op5"):
         assert {r["doc_id"] for r in out} >= {1, 4, 5, None}
     elif name.startswith("op11"):
-        assert {r["anchor_id"] for r in out} >= {0, 1000, 1050, 350, 400}
+        assert {r["anchor_id"] for r in out} >= {0, 50, 400, 500, 1000, 1050}
     elif name.startswith("op12"):
         assert len(out) == 4 * 600
     else:
