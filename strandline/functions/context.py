@@ -12,6 +12,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.medians import expanding_median
+from strandline.functions.rolled import Rolling, rolled
+from strandline.functions.sliced import sliced
 from strandline.functions.windows import log_return, required, rolling
 from strandline.operators.joins import many_to_one
 
@@ -34,23 +37,37 @@ def breadth(value: str):
     return F.avg(F.when(F.col(value) > 0, 1.0).otherwise(0.0))
 
 
-def index_features(index: DataFrame, prefix: str = "market") -> DataFrame:
-    """{prefix}_return, volatility, sma and close_to_sma of a series with one row a day."""
+def _index_windows(index: DataFrame, prefix: str) -> DataFrame:
+    out = index.withColumns({f"{prefix}_return_{n}d": log_return("close", n) for n in SPANS})
+    means = [Rolling(f"{prefix}_sma_{n}", "avg", F.col("close"), n) for n in (20, 50)]
+    out = rolled(out, [Rolling(f"{prefix}_volatility_20d", "stddev_samp", F.col(f"{prefix}_return_1d"), 20), *means])
+    return out.withColumns({f"{prefix}_close_to_sma_{n}": F.try_divide(F.col("close"), F.col(f"{prefix}_sma_{n}")) - 1 for n in (20, 50)})
+
+
+def index_features(index: DataFrame, prefix: str = "market", *, slice_rows: int | None = None) -> DataFrame:
+    """{prefix}_return, volatility, sma and close_to_sma of a series with one row a day; with
+    ``slice_rows`` a long one is cut into slices of so many rows."""
     required(index, ("session_date", "close"))
-    out = index.select("session_date", "close").withColumns({f"{prefix}_return_{n}d": log_return("close", n, ()) for n in SPANS})
-    out = out.withColumns({f"{prefix}_volatility_20d": rolling("stddev_samp", F.col(f"{prefix}_return_1d"), 20, ()), **{f"{prefix}_sma_{n}": rolling("avg", F.col("close"), n, ()) for n in (20, 50)}})
-    return out.withColumns({f"{prefix}_close_to_sma_{n}": F.try_divide(F.col("close"), F.col(f"{prefix}_sma_{n}")) - 1 for n in (20, 50)}).drop("close")
+    alone = index.select(F.lit(0).alias("ticker"), "session_date", "close")
+    build = lambda frame: _index_windows(frame, prefix)
+    out = sliced(alone, build, back=51, rows=slice_rows) if slice_rows else build(alone)
+    return out.drop("ticker", "close")
 
 
-def regime(index: DataFrame, *, trend: float = 0.02, high: float = 1.5, low: float = 0.75, least: int = 60) -> DataFrame:
+def regime(index: DataFrame, *, trend: float = 0.02, high: float = 1.5, low: float = 0.75, least: int = 60, blocks: int | None = None) -> DataFrame:
     """Trend and volatility regime of ``index_features``, by day: 1, 0 or -1, and 0 while warming up.
 
-    Volatility is held against its median over the series so far, in day order.
+    Volatility is held against its median over the series so far, in day order.  A growing window takes
+    that median anew for each row, in one task: enough for years of days.  With ``blocks``, a long
+    series is cut into so many blocks of time, which are walked side by side (some jobs run at once).
     """
-    so_far = Window.partitionBy(F.lit(0)).orderBy("session_date").rowsBetween(Window.unboundedPreceding, 0)
     v = F.col("market_volatility_20d")
-    median = F.when(F.count(v).over(so_far) >= least, F.percentile(v, F.lit(0.5)).over(so_far))
-    out = index.withColumn("_m", median)
+    if blocks:
+        out = expanding_median(index, "market_volatility_20d", blocks=blocks)
+        out = out.withColumn("_m", F.when(F.col("_n") >= least, F.col("_median"))).drop("_median", "_n")
+    else:
+        so_far = Window.partitionBy(F.lit(0)).orderBy("session_date").rowsBetween(Window.unboundedPreceding, 0)
+        out = index.withColumn("_m", F.when(F.count(v).over(so_far) >= least, F.percentile(v, F.lit(0.5)).over(so_far)))
     gap = F.col("market_close_to_sma_50")
     return out.withColumns(
         {

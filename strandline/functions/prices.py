@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.windows import checked_counts, log_ratio, log_return, over, required, rolling
+from strandline.functions.rolled import Rolling, rolled
+from strandline.functions.sliced import sliced
+from strandline.functions.windows import checked_counts, log_ratio, log_return, over, required
 
 HORIZONS = (1, 2, 5, 10, 20)
 TARGET_HORIZONS = (1, 5)
@@ -42,12 +44,14 @@ def volatility_volume_features(panel: DataFrame, *, volatility_windows: tuple[in
     volatility_windows = checked_counts(volatility_windows, "volatility window")
     volume_windows = checked_counts(volume_windows, "volume window")
     out = panel.withColumns({"_r": log_return("close", 1), "volume_change_1d": log_return("volume", 1)})
-    out = out.withColumns(
-        {
-            **{f"volatility_{n}d": rolling("stddev_samp", F.col("_r"), n) for n in volatility_windows},
-            **{f"volume_sma_{n}d": rolling("avg", F.col("volume"), n) for n in volume_windows},
-            **{f"_s{n}": rolling("stddev_samp", F.col("volume"), n) for n in volume_windows},
-        }
-    )
+    deviations = [Rolling(f"volatility_{n}d", "stddev_samp", F.col("_r"), n) for n in volatility_windows] + [Rolling(f"_s{n}", "stddev_samp", F.col("volume"), n) for n in volume_windows]
+    out = rolled(out, [*deviations, *(Rolling(f"volume_sma_{n}d", "avg", F.col("volume"), n) for n in volume_windows)])
     z = lambda n: F.try_divide(F.col("volume") - F.col(f"volume_sma_{n}d"), F.col(f"_s{n}"))
     return out.withColumns({f"volume_zscore_{n}d": z(n) for n in volume_windows}).drop("_r", *(f"_s{n}" for n in volume_windows))
+
+
+def price_features(panel: DataFrame, *, slice_rows: int | None = None) -> DataFrame:
+    """Returns, volatility, volume and targets together; with ``slice_rows`` slice by slice, not ticker by ticker."""
+    build = lambda frame: targets(volatility_volume_features(return_features(frame)))
+    reach = 1 + max(*HORIZONS, *VOLATILITY_WINDOWS, *VOLUME_WINDOWS)
+    return sliced(panel, build, back=reach, ahead=max(TARGET_HORIZONS), rows=slice_rows) if slice_rows else build(panel)

@@ -23,14 +23,15 @@ from strandline.functions.windows import BY_TICKER, over
 #: Rows of a block wherever rho is in the range that it serves.
 BLOCK = 1100
 
-#: The order of a numbered frame.
-BY_ROW = ("_b", "_t")
+#: The row's number within its key, and the order of a numbered frame.
+TICK = "_t"
+BY_ROW = ("_b", TICK)
 
 
 def numbered(frame: DataFrame, keys: tuple[str, ...] = BY_TICKER) -> DataFrame:
     """``frame`` with _t, the row's number within its key from 0, and _b, its block."""
-    out = frame.withColumn("_t", F.row_number().over(over(keys)) - 1)
-    return out.withColumn("_b", F.floor(F.col("_t") / BLOCK).cast("int"))
+    out = frame.withColumn(TICK, F.row_number().over(over(keys)) - 1)
+    return out.withColumn("_b", F.floor(F.col(TICK) / BLOCK).cast("int"))
 
 
 @dataclass(frozen=True)

@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.recursive import BY_ROW, ema, numbered, recursions, wilder_mean, wilder_sum
-from strandline.functions.windows import BY_DAY, full, last_rows, over, required, rolling
+from strandline.functions.rolled import Rolling, rolled
+from strandline.functions.sliced import settled, sliced
+from strandline.functions.windows import BY_DAY, over, required, rolling
 
 SMA_WINDOWS = (10, 20, 50, 200)
+SLOPE_WINDOWS = (20, 50)
 EMA_SPANS = (10, 20, 50)
 
 COLUMNS = (
@@ -45,10 +48,21 @@ def _by_row(family: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def _means(windows: tuple[int, ...]) -> list[Rolling]:
+    return [Rolling(f"sma_{n}", "avg", F.col("close"), n) for n in windows]
+
+
+def _ratios(panel: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    return panel.withColumns({f"close_to_sma_{n}": F.try_divide(F.col("close"), F.col(f"sma_{n}")) - 1 for n in windows})
+
+
+def _slopes(windows: tuple[int, ...]) -> list[Rolling]:
+    return [Rolling(f"trend_slope_{n}", "slope", F.col("close"), n) for n in windows]
+
+
 def moving_averages(panel: DataFrame, windows: tuple[int, ...] = SMA_WINDOWS, *, order: tuple[str, ...] = BY_DAY) -> DataFrame:
     """sma_{n} and close_to_sma_{n} = close / sma - 1."""
-    out = panel.withColumns({f"sma_{n}": rolling("avg", F.col("close"), n, order=order) for n in windows})
-    return out.withColumns({f"close_to_sma_{n}": F.try_divide(F.col("close"), F.col(f"sma_{n}")) - 1 for n in windows})
+    return _ratios(rolled(panel, _means(windows), order=order), windows)
 
 
 @_by_row
@@ -120,17 +134,30 @@ def stochastic(panel: DataFrame, fast: int = 14, k: int = 3, d: int = 3, *, orde
 
 
 @_by_row
-def trend_slope(panel: DataFrame, windows: tuple[int, ...] = (20, 50), *, order: tuple[str, ...]) -> DataFrame:
+def trend_slope(panel: DataFrame, windows: tuple[int, ...] = SLOPE_WINDOWS, *, order: tuple[str, ...]) -> DataFrame:
     """Least-squares slope of close against the row's number."""
-    of = lambda n: last_rows(n, order=order)
-    return panel.withColumns({f"trend_slope_{n}": full(F.col("close"), F.regr_slope(F.col("close"), F.col("_t").cast("double")).over(of(n)), n, of(n)) for n in windows})
+    return rolled(panel, _slopes(windows), order=order)
 
 
-def technical_features(panel: DataFrame) -> DataFrame:
+def _all_by_row(numbered_panel: DataFrame) -> DataFrame:
+    """All of ``COLUMNS`` over numbered rows; means and slopes of one window share its blocks."""
+    out = _ratios(rolled(numbered_panel, [*_means(SMA_WINDOWS), *_slopes(SLOPE_WINDOWS)], order=BY_ROW), SMA_WINDOWS)
+    for family in (bollinger, stochastic, exponential_averages, rsi, macd, directional_movement):
+        out = family(out, order=BY_ROW)
+    return out
+
+
+#: Rows that any of ``COLUMNS`` looks back: the longest window, or until a recursion has forgotten its start.
+REACH = max(*SMA_WINDOWS, *SLOPE_WINDOWS, settled(1 - 2 / (max(EMA_SPANS) + 1)), settled(1 - 2 / 27, 1 - 2 / 10), 1 + settled(1 - 1 / 14, 1 - 1 / 14))
+
+
+def technical_features(panel: DataFrame, *, slice_rows: int | None = None) -> DataFrame:
     """``panel`` with all of ``COLUMNS``: rows are numbered once, and every family reads them in
-    that order, so there is one exchange and two sorts."""
+    that order, so there is one exchange.
+
+    With ``slice_rows`` a ticker's history is cut into slices of so many rows, so that the work is not one
+    task a ticker: for few tickers or long ones.  Slices much longer than ``REACH`` repeat little.
+    """
     required(panel, ("ticker", "session_date", "open", "high", "low", "close"))
-    out = numbered(panel)
-    for family in (moving_averages, bollinger, stochastic, trend_slope, exponential_averages, rsi, macd, directional_movement):
-        out = family(out, order=BY_ROW)
+    out = sliced(panel, _all_by_row, back=REACH, rows=slice_rows) if slice_rows else _all_by_row(numbered(panel))
     return out.select(*(c for c in panel.columns if c not in COLUMNS), *COLUMNS)

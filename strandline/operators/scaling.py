@@ -7,8 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.selection import exact_quantiles
+
 SCALERS = ("standard", "robust")
 
+#: Rows of a group up to which its distinct values may stand in one aggregation buffer.
+BUFFERED_ROWS = 1_000_000
+_QUARTERS = (0.25, 0.5, 0.75)
+
 
 def _parameters(features: Sequence[str], kind: str) -> list[Column]:
     """Centre and scale of each feature; a scale of 0 counts as 1."""
@@ -17,22 +23,44 @@ def _parameters(features: Sequence[str], kind: str) -> list[Column]:
         if kind == "standard":
             centre, scale = F.avg(f), F.stddev_pop(f)
         else:
-            q = F.percentile(F.col(f), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+            q = F.percentile(F.col(f), F.array(*map(F.lit, _QUARTERS)))
             centre, scale = q[1], q[2] - q[0]
         out += [centre.alias(f"{f}__centre"), F.when(scale == 0, 1.0).otherwise(scale).alias(f"{f}__scale")]
     return out
 
 
-def fit_by(rows: DataFrame, features: Sequence[str], *, kind: str = "standard", keys: Sequence[str] = ("fold_id",)) -> DataFrame:
-    """Parameters by fold from the rows given, which have to be training rows only: all folds in one job."""
+def _selected(rows: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Robust parameters by radix selection: a row a group."""
+    fitted = []
+    for key, quantiles in exact_quantiles(rows, features, _QUARTERS, keys=keys):
+        values = []
+        for f in features:
+            q = quantiles[f]
+            values += [None, None] if q is None else [q[1], 1.0 if q[2] == q[0] else q[2] - q[0]]
+        fitted.append((*key, *values))
+    kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + [f"`{f}__{x}` double" for f in features for x in ("centre", "scale")]
+    return rows.sparkSession.createDataFrame(fitted, ", ".join(kinds))
+
+
+def fit_by(rows: DataFrame, features: Sequence[str], *, kind: str = "standard", keys: Sequence[str] = ("fold_id",), buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
+    """Parameters by fold from the rows given, which have to be training rows only: all folds in one job.
+
+    Exact quantiles of a group of more than ``buffered_rows`` rows would take its distinct values into one
+    task's memory; where the largest group has more, they are selected digit by digit, with equal results.
+    """
     if kind not in SCALERS:
         raise ValueError(f"unknown scaler {kind!r}")
+    if kind == "robust":
+        largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if largest > buffered_rows:
+            return _selected(rows, features, keys)
     return rows.groupBy(*keys).agg(*_parameters(features, kind))
 
 
 def scale_by(rows: DataFrame, parameters: DataFrame, features: Sequence[str], *, keys: Sequence[str] = ("fold_id",)) -> DataFrame:
-    """``rows`` with scaled features.  The parameters are one row a fold."""
-    joined = rows.join(F.broadcast(parameters), list(keys))
+    """``rows`` with scaled features.  The parameters are one row a group; their estimated size decides
+    whether they are broadcast."""
+    joined = rows.join(parameters, list(keys))
     scaled = {f: (F.col(f) - F.col(f"{f}__centre")) / F.col(f"{f}__scale") for f in features}
     return joined.withColumns(scaled).drop(*(f"{f}__{x}" for f in features for x in ("centre", "scale")))
 
@@ -50,8 +78,8 @@ class TrainOnlyScaler:
     def fit(self, rows: DataFrame, features: Sequence[str]) -> TrainOnlyScaler:
         if self.features is not None:
             raise RuntimeError("this scaler is fitted already")
-        row = rows.agg(*_parameters(features, self.kind), F.count("*").alias("n__rows")).first()
-        if not row["n__rows"]:
+        row = fit_by(rows.withColumn("_all", F.lit(0)), features, kind=self.kind, keys=("_all",)).first()
+        if row is None:
             raise ValueError("no rows to fit on")
         self.features = tuple(features)
         self.parameters = {f: (row[f"{f}__centre"], row[f"{f}__scale"]) for f in features}

@@ -336,3 +336,7 @@ def _plain(name: str, sql: str) -> str:
 
 
 SQL: dict[str, str] = {name: _plain(name, sql) for name, sql in _SQL.items()}
+
+#: Another way to the same rows.
+SQL |= {"technical_sliced": SQL["technical_all"], "market_regime_blocks": SQL["market_regime"], "scaler_robust_selected": SQL["scaler_robust"]}
+SQL["prices_sliced"] = f"SELECT * FROM ({SQL['volatility']}) JOIN ({SQL['targets']}) USING (ticker, session_date)"

@@ -146,6 +146,21 @@ def technical_all(spark, d):
     return _pick(technical.technical_features(_bars(spark, d)), *technical.COLUMNS)
 
 
+#: Shorter than the panel's histories, so that they are cut.
+SLICE_ROWS = 500
+
+
+def technical_sliced(spark, d):
+    """As ``technical_all``, by slices of time in place of tickers."""
+    return _pick(technical.technical_features(_bars(spark, d), slice_rows=SLICE_ROWS), *technical.COLUMNS)
+
+
+def prices_sliced(spark, d):
+    """Volatility and targets by slices of time: windows that look back and ahead over their edges."""
+    out = prices.price_features(_bars(spark, d), slice_rows=SLICE_ROWS)
+    return _pick(out, "volatility_5d", "volatility_20d", "volatility_60d", "target_return_1d", "target_return_5d", "target_up_1d", "target_up_5d")
+
+
 def market_context(spark, d):
     out = context.market_context(panel.with_sector(_bars(spark, d)), market_index=_index(spark, d))
     return _pick(out, *context.MARKET_COLUMNS)
@@ -160,6 +175,12 @@ def market_regime(spark, d):
     return context.regime(context.index_features(_index(spark, d))).select("session_date", *context.REGIME_COLUMNS)
 
 
+def market_regime_blocks(spark, d):
+    """As ``market_regime``, with slices and blocks of time in place of one growing window."""
+    index = context.index_features(_index(spark, d), slice_rows=SLICE_ROWS)
+    return context.regime(index, blocks=8).select("session_date", *context.REGIME_COLUMNS)
+
+
 def sector_context(spark, d):
     return _pick(context.sector_context(panel.with_sector(_bars(spark, d))), *context.SECTOR_COLUMNS)
 
@@ -221,9 +242,9 @@ def _roles(spark: SparkSession, d: str) -> DataFrame:
     return splits.walk_forward_split(_clean(spark, d), min_train_sessions=1000, val_sessions=400, target_horizon=5)
 
 
-def _scaled(spark: SparkSession, d: str, kind: str) -> DataFrame:
+def _scaled(spark: SparkSession, d: str, kind: str, **options) -> DataFrame:
     train = _roles(spark, d).where("status = 'kept' and role = 'train'")
-    fitted = scaling.fit_by(train, FEATURES, kind=kind)
+    fitted = scaling.fit_by(train, FEATURES, kind=kind, **options)
     return fitted.select("fold_id", *(F.round(c, 6).alias(c) for c in fitted.columns if c != "fold_id"))
 
 
@@ -235,6 +256,11 @@ def scaler_robust(spark, d):
     return _scaled(spark, d, "robust")
 
 
+def scaler_robust_selected(spark, d):
+    """As ``scaler_robust``, by radix selection, as larger folds have it."""
+    return _scaled(spark, d, "robust", buffered_rows=0)
+
+
 def scaled_validation(spark, d):
     kept = _roles(spark, d).where("status = 'kept'")
     out = scaling.scale_by(kept.where("role = 'val'"), scaling.fit_by(kept.where("role = 'train'"), FEATURES), FEATURES)
@@ -418,7 +444,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: _plain(f)
     for f in (
         panel_summary, bars, quality_report, audit_by_ticker, audit_totals, audit_row_histogram, log_returns, price_shape, targets, volatility, volume_features, sma_ratios, bollinger, trend_slope, stochastic, ema, macd, rsi, dmi_adx,
-        technical_all, market_context, market_regime, sector_context, cross_asset, context_all, information_cutoff_violations, model_dataset, label_outcome_dates, chronological_roles, walk_forward_folds, walk_forward_rolling, purge_counts,
-        inner_folds, inner_selection, inner_fold_geometry, split_manifest, prepared_folds, gated_validation, experiment_baselines, order_report, repeated_keys, context_returns, sequence_values, scaler_standard, scaler_robust, scaled_validation, lookback_sequences, baseline_predictions, regression_metrics, classification_metrics, macro_objective, experiment_leaderboard, event_bars, gbt_predictions, search_trials,
+        technical_all, technical_sliced, prices_sliced, market_context, market_regime, market_regime_blocks, sector_context, cross_asset, context_all, information_cutoff_violations, model_dataset, label_outcome_dates, chronological_roles, walk_forward_folds, walk_forward_rolling, purge_counts,
+        inner_folds, inner_selection, inner_fold_geometry, split_manifest, prepared_folds, gated_validation, experiment_baselines, order_report, repeated_keys, context_returns, sequence_values, scaler_standard, scaler_robust, scaler_robust_selected, scaled_validation, lookback_sequences, baseline_predictions, regression_metrics, classification_metrics, macro_objective, experiment_leaderboard, event_bars, gbt_predictions, search_trials,
     )
 }

@@ -14,7 +14,7 @@ def test_every_query_has_an_oracle_or_is_listed_as_without():
 
 
 #: These need more sessions than the smallest tables have.
-LONG = {"walk_forward_folds", "walk_forward_rolling", "purge_counts", "scaler_standard", "scaler_robust", "scaled_validation"}
+LONG = {"walk_forward_folds", "walk_forward_rolling", "purge_counts", "scaler_standard", "scaler_robust", "scaler_robust_selected", "scaled_validation"}
 LONG |= {"inner_selection", "inner_fold_geometry", "split_manifest", "prepared_folds", "gated_validation", "experiment_baselines"}
 LONG |= {"baseline_predictions", "regression_metrics", "classification_metrics", "macro_objective", "experiment_leaderboard"}
 
