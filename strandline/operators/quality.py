@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.windows import required
+from strandline.session import delete, rename
 from strandline.sources.panel import COLUMNS, NUMERIC, day, number
 
 PRICES = ("open", "high", "low", "close", "adj_close")
@@ -70,14 +73,64 @@ def violations_by_ticker(panel: DataFrame) -> DataFrame:
     return rows.groupBy("ticker").agg(*(c.alias(n) for n, c in _row_rules().items()), _count(F.col("_same") > 1).alias("duplicate_keys"), _count(F.col("_late")).alias("unordered_rows"))
 
 
-def validate(panel: DataFrame) -> None:
-    """Raise one error that lists every kind of violation with its count."""
-    found = quality_report(panel).first().asDict()
+def _raise_for(found: dict[str, int]) -> None:
     errors = [f"{name}: {n}" for name, n in found.items() if name != "n_rows" and n]
     if errors:
         raise ValueError("panel validation failed:\n- " + "\n- ".join(errors))
 
 
+def validate(panel: DataFrame) -> None:
+    """Raise one error that lists every kind of violation with its count."""
+    _raise_for(quality_report(panel).first().asDict())
+
+
+def save_validated(panel: DataFrame, path: str) -> dict[str, int]:
+    """Check and save a panel (Parquet, by ticker and day) in one job; the counts of ``violations_by_ticker`` over all rows.
+
+    The rows move once, by ticker; what repeats or stands out of order is told by windows in that
+    exchange, and everything is counted while the rows are written.  They go to a folder beside
+    ``path``, which takes its place if nothing was found and is removed, with one error, if anything was.
+    """
+    required(panel, COLUMNS)
+    spark, seen = panel.sparkSession, Observation(f"panel-{uuid.uuid4().hex}")
+    by_day = Window.partitionBy("ticker").orderBy("session_date")
+    again = (F.lag("session_date").over(by_day) == F.col("session_date")) | (F.lead("session_date").over(by_day) == F.col("session_date"))
+    rows = panel.withColumns({"_again": F.coalesce(again, F.lit(False)), "_late": F.lit(False)})
+    if "ingest_id" in panel.columns:
+        late = F.lag(day("session_date")).over(Window.partitionBy("ticker").orderBy("ingest_id")) > day("session_date")
+        rows = rows.withColumn("_late", F.coalesce(late, F.lit(False)))
+    counts = [c.alias(n) for n, c in _row_rules().items()] + [F.count_if("_again").alias("duplicate_keys"), F.count_if("_late").alias("unordered_rows")]
+    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    rows.observe(seen, *counts).select(*COLUMNS).write.parquet(beside)
+    found = {k: int(v) for k, v in seen.get.items()}
+    try:
+        _raise_for(found)
+    except ValueError:
+        delete(spark, beside)
+        raise
+    delete(spark, path)
+    rename(spark, beside, path)
+    return found
+
+
+def guarded(panel: DataFrame, *, positive: tuple[str, ...] = (), ohlc: bool = False) -> DataFrame:
+    """``panel`` with the checks of ``guard`` inside its plan: no job of their own, and the first row that breaks one
+    ends whatever reads it.  Repeats are told in the order by ticker and day that features need anyway."""
+    required(panel, ("ticker", "session_date", *positive))
+    checks = {"null key": F.col("ticker").isNotNull() & F.col("session_date").isNotNull()}
+    for c in positive:
+        checks[f"{c} is missing, not finite or not positive"] = _value(c).isNotNull() & (F.abs(_value(c)) != float("inf")) & (_value(c) > 0)
+    if ohlc:
+        top, bottom = F.greatest("open", "close"), F.least("open", "close")
+        checks["price relations"] = ~((F.col("high") < top) | (F.col("low") > bottom) | (F.col("low") > F.col("high")))
+    out = panel
+    for what, fine in checks.items():
+        out = out.where(F.assert_true(F.coalesce(fine, F.lit(what == "price relations")), F.lit(f"invalid panel: {what}")).isNull())
+    before = F.lag("session_date").over(Window.partitionBy("ticker").orderBy("session_date"))
+    once = F.coalesce(before != F.col("session_date"), F.lit(True))
+    return out.withColumn("_once", once).where(F.assert_true("_once", F.lit("repeated (ticker, session_date)")).isNull()).drop("_once")
+
+
 def guard(panel: DataFrame, *, positive: tuple[str, ...] = (), ohlc: bool = False) -> None:
     """The builders' fail-fast checks: unique keys, finite and positive values, price relations."""
     required(panel, ("ticker", "session_date", *positive))

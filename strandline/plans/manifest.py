@@ -7,6 +7,7 @@ import json
 import platform
 import subprocess
 from collections.abc import Iterable
+from copy import deepcopy
 from dataclasses import asdict, dataclass
 from importlib.metadata import PackageNotFoundError, version
 from typing import Any
@@ -19,12 +20,12 @@ from strandline.plans.search import canonical
 
 # The contract's fields and locked settings.
 REQUIRED = (
-    "experiment_id version target task_type winning_model_family lookback best_hyperparameters model_architecture feature_schema "
-    "preprocessing_configuration inner_fold_geometry purge_length scoring_row_rule sequence_scoring_alignment_rule "
-    "early_stopping_configuration protocol_a_configuration random_seed device determinism_settings objective secondary_metrics "
-    "aggregation_rules baseline_definition optuna_trial_budget optuna_sampler_configuration search_space_definition dataset_manifest "
-    "code_provenance library_versions"
-).split()
+    *("experiment_id", "version", "target", "task_type", "winning_model_family", "lookback", "best_hyperparameters", "model_architecture"),
+    *("feature_schema", "preprocessing_configuration", "inner_fold_geometry", "purge_length", "scoring_row_rule"),
+    *("sequence_scoring_alignment_rule", "early_stopping_configuration", "protocol_a_configuration", "random_seed", "device"),
+    *("determinism_settings", "objective", "secondary_metrics", "aggregation_rules", "baseline_definition", "optuna_trial_budget"),
+    *("optuna_sampler_configuration", "search_space_definition", "dataset_manifest", "code_provenance", "library_versions"),
+)
 REQUIRED_BY_PROTOCOL = ("search_space_identity", "optuna_trial_metadata")
 OBJECTIVES = {"regression": "relative_rmse", "classification": "logloss"}
 SECONDARY = {"regression": ["rmse", "mae", "r2", "directional_accuracy", "pearson_ic"], "classification": ["accuracy", "precision", "recall", "f1"]}
@@ -40,6 +41,22 @@ EARLY_STOPPING = {
 }
 SAMPLER = {"sampler": "TPESampler", "n_startup_trials": 10, "n_jobs": 1, "pruner": "NopPruner"}
 BUDGET = 30
+#: What a configuration has unless it says otherwise.
+DEFAULTS = {
+    "aggregation_rules": AGGREGATION,
+    "device": "cpu",
+    "optuna_trial_budget": BUDGET,
+    "optuna_trial_metadata": {},
+    "preprocessing_configuration": {"scaler_type": "standard", "fit_scope": "inner_fit_only"},
+    "protocol_a_configuration": PROTOCOL,
+    "scoring_row_rule": SCORING_RULE,
+    "search_space_definition": {},
+    "search_space_identity": None,
+    "sequence_scoring_alignment_rule": ALIGNMENT_RULE,
+    "version": "1.0.0",
+}
+#: What follows from the task.
+BY_TASK = {"baseline_definition": BASELINES, "objective": OBJECTIVES, "secondary_metrics": SECONDARY}
 
 
 def library_versions(names: Iterable[str] = ("pyspark", "numpy", "pyarrow", "pandas")) -> dict[str, str]:
@@ -67,34 +84,11 @@ def code_provenance() -> dict[str, Any]:
 
 def freeze_config(*, target: str, task_type: str, winning_model_family: str, best_hyperparameters: dict[str, Any], random_seed: int = 42, **given: Any) -> dict[str, Any]:
     """A configuration with the protocol's defaults; every field can be given."""
-    config: dict[str, Any] = {
-        "version": "1.0.0",
-        "target": target,
-        "task_type": task_type,
-        "winning_model_family": winning_model_family,
-        "best_hyperparameters": dict(best_hyperparameters),
-        "lookback": best_hyperparameters.get("lookback"),
-        "model_architecture": {"family": winning_model_family},
-        "preprocessing_configuration": {"scaler_type": "standard", "fit_scope": "inner_fit_only"},
-        "scoring_row_rule": SCORING_RULE,
-        "sequence_scoring_alignment_rule": ALIGNMENT_RULE,
-        "early_stopping_configuration": EARLY_STOPPING.get(winning_model_family, EARLY_STOPPING["LSTM"]),
-        "protocol_a_configuration": dict(PROTOCOL),
-        "random_seed": random_seed,
-        "device": "cpu",
-        "determinism_settings": {"numpy_seed": random_seed, "ordered_passes": True},
-        "objective": OBJECTIVES.get(task_type),
-        "secondary_metrics": SECONDARY.get(task_type),
-        "aggregation_rules": AGGREGATION,
-        "baseline_definition": BASELINES.get(task_type),
-        "optuna_trial_budget": BUDGET,
-        "optuna_sampler_configuration": {**SAMPLER, "seed": random_seed},
-        "search_space_identity": None,
-        "search_space_definition": {},
-        "optuna_trial_metadata": {},
-        "code_provenance": code_provenance(),
-        "library_versions": library_versions(),
-    }
+    own = {"target": target, "task_type": task_type, "winning_model_family": winning_model_family, "random_seed": random_seed, "best_hyperparameters": dict(best_hyperparameters)}
+    seeded = {"optuna_sampler_configuration": {**SAMPLER, "seed": random_seed}, "determinism_settings": {"numpy_seed": random_seed, "ordered_passes": True}}
+    of_family = {"model_architecture": {"family": winning_model_family}, "early_stopping_configuration": EARLY_STOPPING.get(winning_model_family, EARLY_STOPPING["LSTM"]), "lookback": best_hyperparameters.get("lookback")}
+    told = {"code_provenance": code_provenance(), "library_versions": library_versions()}
+    config = deepcopy(DEFAULTS) | {field: table.get(task_type) for field, table in BY_TASK.items()} | of_family | seeded | told | own
     return config | {k: v for k, v in given.items() if v is not None}
 
 

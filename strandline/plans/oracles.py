@@ -340,3 +340,5 @@ SQL: dict[str, str] = {name: _plain(name, sql) for name, sql in _SQL.items()}
 #: Another way to the same rows.
 SQL |= {"technical_sliced": SQL["technical_all"], "market_regime_blocks": SQL["market_regime"], "scaler_robust_selected": SQL["scaler_robust"]}
 SQL["prices_sliced"] = f"SELECT * FROM ({SQL['volatility']}) JOIN ({SQL['targets']}) USING (ticker, session_date)"
+SQL |= {name: f"SELECT upper(ticker) AS ticker, session_date, {', '.join(f'round({c}, 6) AS {c}' for c in ('open', 'high', 'low', 'close', 'adj_close', 'volume'))} FROM ({SQL['bars']})" for name in ("csv_round_trip", "wide_frames")}
+SQL["validated_save"] = SQL["csv_round_trip"].replace("upper(ticker)", "ticker")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions import context, metrics, prices, technical
 from strandline.operators import joins, quality, scaling, splits
 from strandline.plans import dataset, experiment, search
-from strandline.session import ship
+from strandline.session import scratch, ship
 from strandline.sources import panel
 from strandline.streaming.bars import event_bars as bars_of_events
 
@@ -25,8 +25,14 @@ def _bars(spark: SparkSession, d: str) -> DataFrame:
     return panel.bars_from_trades(spark, d)
 
 
+def _series(spark: SparkSession, d: str, priority: str | None = None) -> DataFrame:
+    """A daily series as an index: a divisor of 3.7, as indices have one, which also keeps window means
+    off the half-way points of rounding, where engines differ."""
+    return panel.daily_series(spark, d, priority).withColumn("close", F.col("close") / 3.7)
+
+
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return panel.daily_series(spark, d)
+    return _series(spark, d)
 
 
 def _pick(frame: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -48,6 +54,36 @@ def bars(spark, d):
     return _bars(spark, d)
 
 
+def csv_round_trip(spark, d):
+    """Bars written as CSV files with the provider's ways (names, times, blanks), then read, checked and brought in order."""
+    b = _bars(spark, d)
+    names = {v: k for k, v in panel.PROVIDER_NAMES.items()}
+    sent = b.select(F.concat(F.date_format("session_date", "yyyy-MM-dd"), F.lit(" 00:00:00")).alias("session_date"), F.concat(F.lit(" "), F.lower("ticker"), F.lit(" ")).alias("ticker"), *panel.NUMERIC)
+    path = scratch(spark, "csv")
+    for _ in range(2):  # saving again replaces
+        panel.save_csv(sent, path)
+    read = panel.read_csv(spark, path)
+    quality.validate(read.drop("ingest_id"))
+    renamed = read.select(*(F.col(c).alias(names.get(c, c)) for c in panel.COLUMNS))
+    return _pick(panel.normalise(renamed), *panel.NUMERIC)
+
+
+def wide_frames(spark, d):
+    """One column a field and ticker, as providers send several tickers at once, made long again."""
+    b = _bars(spark, d)
+    tickers = [r[0] for r in b.select("ticker").distinct().orderBy("ticker").limit(100).collect()]  # brands: 25 at most
+    cells = [F.max(F.when(F.col("ticker") == t, F.col(c))).alias(f"{c}|{t}") for t in tickers for c in panel.NUMERIC]
+    long = panel.normalise(panel.wide_to_long(b.groupBy("session_date").agg(*cells)))
+    return _pick(long.where("close is not null"), *panel.NUMERIC)
+
+
+def validated_save(spark, d):
+    """Bars checked and saved in one job, as they are read back."""
+    path = scratch(spark, "panel")
+    quality.save_validated(_bars(spark, d), path)
+    return _pick(spark.read.parquet(path), *panel.NUMERIC)
+
+
 def faulty_panel(spark: SparkSession, d: str) -> DataFrame:
     """Bars with planted faults, so that the report has something to count."""
     b, day = _bars(spark, d), F.dayofmonth("session_date")
@@ -186,13 +222,13 @@ def sector_context(spark, d):
 
 
 def cross_asset(spark, d):
-    out = context.cross_asset_context(_bars(spark, d), india_vix=panel.daily_series(spark, d, "1-URGENT"), usd_inr=panel.daily_series(spark, d, "2-HIGH"))
+    out = context.cross_asset_context(_bars(spark, d), india_vix=_series(spark, d, "1-URGENT"), usd_inr=_series(spark, d, "2-HIGH"))
     return _pick(out, *context.CROSS_ASSET_COLUMNS)
 
 
 def context_all(spark, d):
     out = context.context_features(
-        panel.with_sector(_bars(spark, d)), market_index=_index(spark, d), india_vix=panel.daily_series(spark, d, "1-URGENT"), usd_inr=panel.daily_series(spark, d, "2-HIGH"), crude=panel.daily_series(spark, d, "5-LOW")
+        panel.with_sector(_bars(spark, d)), market_index=_index(spark, d), india_vix=_series(spark, d, "1-URGENT"), usd_inr=_series(spark, d, "2-HIGH"), crude=_series(spark, d, "5-LOW")
     )
     return _pick(out, *context.ALL_COLUMNS)
 
@@ -330,16 +366,13 @@ def inner_fold_geometry(spark, d):
 
 
 def experiment_baselines(spark, d):
-    """Baselines trained and scored fold by fold, as the runner does it for any model."""
+    """Baselines over all folds, as the runner does it for any model: trained side by side, scored together."""
     from strandline.plans.models import Baseline
 
-    rows = []
-    for strategy in ("zero", "mean"):
-        done = experiment.run_across_folds(lambda s=strategy: Baseline(s), _folds(spark, d), "target_return_5d")
-        rows += [(done.model, r.fold_id, *(r.metrics[m] for m in metrics.REGRESSION)) for r in done.folds]
-    out = spark.createDataFrame(rows, "model string, fold_id int, " + ", ".join(f"{m} double" for m in metrics.REGRESSION))
+    folds = _folds(spark, d)
+    done = [experiment.run_across_folds(lambda s=strategy: Baseline(s), folds, "target_return_5d") for strategy in ("zero", "mean")]
     # A rounded -0.0 becomes 0.0.
-    return out.select("model", "fold_id", *((F.round(m, 6) + 0.0).alias(m) for m in metrics.REGRESSION))
+    return experiment.union_all([e.scores for e in done]).select("model", "fold_id", *((F.round(m, 6) + 0.0).alias(m) for m in metrics.REGRESSION))
 
 
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
@@ -443,7 +476,7 @@ def _plain(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     f.__name__: _plain(f)
     for f in (
-        panel_summary, bars, quality_report, audit_by_ticker, audit_totals, audit_row_histogram, log_returns, price_shape, targets, volatility, volume_features, sma_ratios, bollinger, trend_slope, stochastic, ema, macd, rsi, dmi_adx,
+        panel_summary, bars, csv_round_trip, wide_frames, validated_save, quality_report, audit_by_ticker, audit_totals, audit_row_histogram, log_returns, price_shape, targets, volatility, volume_features, sma_ratios, bollinger, trend_slope, stochastic, ema, macd, rsi, dmi_adx,
         technical_all, technical_sliced, prices_sliced, market_context, market_regime, market_regime_blocks, sector_context, cross_asset, context_all, information_cutoff_violations, model_dataset, label_outcome_dates, chronological_roles, walk_forward_folds, walk_forward_rolling, purge_counts,
         inner_folds, inner_selection, inner_fold_geometry, split_manifest, prepared_folds, gated_validation, experiment_baselines, order_report, repeated_keys, context_returns, sequence_values, scaler_standard, scaler_robust, scaler_robust_selected, scaled_validation, lookback_sequences, baseline_predictions, regression_metrics, classification_metrics, macro_objective, experiment_leaderboard, event_bars, gbt_predictions, search_trials,
     )

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from functools import wraps
@@ -50,3 +51,33 @@ def shipped(query: Callable[..., Any]) -> Callable[..., Any]:
         return query(spark, *args, **options)
 
     return run
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a local session without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="strandline-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a path of any file system that Spark knows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Move a folder to a place where nothing is."""
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    p = made(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(p, made(to)):
+        raise OSError(f"{path} could not be moved to {to}")

@@ -76,12 +76,16 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], *, ticker_from_file
 
 
 def save_csv(frame: DataFrame, path: str) -> None:
-    frame.select(*COLUMNS).write.option("header", True).csv(path)
+    """CSV files with a header; what was there is replaced.  ``frame`` must not read from ``path``."""
+    frame.select(*COLUMNS).write.mode("overwrite").option("header", True).csv(path)
 
 
 def save_parquet(frame: DataFrame, path: str) -> None:
-    """Day-partitioned Parquet, so that date filters prune files."""
-    frame.select(*COLUMNS).repartition("session_date").write.partitionBy("session_date").parquet(path)
+    """Parquet in one folder a month (column ``month``), sorted by ticker and day, so that filters on either prune; replaces
+    what was there.  Large months are several files."""
+    rows = frame.select(*COLUMNS, F.date_format("session_date", "yyyy-MM").alias("month"))
+    by = ("month", "ticker", "session_date")
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").partitionBy("month").parquet(path)
 
 
 def bars_from_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,10 +119,9 @@ def daily_series(spark: SparkSession, sf_dir: str, priority: str | None = None)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     if priority is not None:
         orders = orders.where(F.col("o_orderpriority") == priority)
-    # Cents are whole numbers, so the sum is the same in any order; the index divisor of 3.7
-    # keeps window means off the half-way points of rounding.
+    # Cents are whole numbers, so the sum is the same in any order.
     cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
-    return orders.groupBy(F.col("o_orderdate").cast("date").alias("session_date")).agg((cents.cast("double") / F.count("*") / 370.0).alias("close"))
+    return orders.groupBy(F.col("o_orderdate").cast("date").alias("session_date")).agg((cents.cast("double") / F.count("*") / 100.0).alias("close"))
 
 
 def with_sector(panel: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ that fails is a row with its error instead of the end of the job.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from typing import Any
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandline.operators.quality import violations_by_ticker
+from strandline.session import delete
 from strandline.sources.panel import COLUMNS, NUMERIC, PROVIDER_NAMES, normalise
 
 #: Rows of one ticker by the provider's column names or the canonical ones.
@@ -70,21 +72,30 @@ def fetch_universe(spark: SparkSession, fetch: Fetch, tickers: Iterable[str], pa
     """Read, validate and save all tickers: CSV files below ``path``, one folder a ticker.
 
     Returns the tickers saved and what went wrong with the others (the call itself, or
-    the kinds and numbers of violations).  The provider is called once a ticker: what it
-    returned is kept below ``path`` before it is validated.
+    the kinds and numbers of violations); both are a row a ticker that the caller named.
+
+    A run may be repeated: it replaces the files of the tickers it saves and touches no others, so
+    a ticker that fails keeps what an earlier run saved.  The provider is called once a
+    ticker; its answer is kept under the run's own id until the run has ended, and
+    ``_runs`` below ``path`` then has the run's id, its tickers and their outcome.
     """
-    raw = f"{path.rstrip('/')}/_raw"
+    run = uuid.uuid4().hex
+    raw = f"{path.rstrip('/')}/_raw/{run}"
     scan(spark, fetch, tickers, period=period).write.parquet(raw)
     rows = spark.read.parquet(raw)
     failed = {r["ticker"]: r["error"] for r in rows.where("error is not null").select("ticker", "error").collect()}
     read = rows.where("error is null").drop("error")
-    # One row a ticker of the universe.
     told = violations_by_ticker(read).collect()
     for r in told:
         found = {k: v for k, v in r.asDict().items() if k not in ("ticker", "n_rows") and v}
         if found:
             failed[r["ticker"]] = "; ".join(f"{k}: {v}" for k, v in found.items())
     fine = sorted(r["ticker"] for r in told if r["ticker"] not in failed)
-    good = normalise(read).where(F.col("ticker").isin(fine))
-    good.select(*COLUMNS, F.col("ticker").alias("of")).repartition("of").sortWithinPartitions("of", "session_date").write.partitionBy("of").option("header", True).mode("append").csv(path)
+    good = normalise(read).where(F.col("ticker").isin(fine)).select(*COLUMNS, F.col("ticker").alias("of"))
+    # Only the folders of tickers among the rows are replaced, once all of them are written.
+    out = good.repartition("of").sortWithinPartitions("of", "session_date").write.partitionBy("of")
+    out.option("header", True).option("partitionOverwriteMode", "dynamic").mode("overwrite").csv(path)
+    outcome = [(run, t, None) for t in fine] + [(run, t, e) for t, e in sorted(failed.items())]
+    spark.createDataFrame(outcome, "run string, ticker string, error string").coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}/_runs")
+    delete(spark, raw)
     return fine, failed

@@ -12,15 +12,15 @@ from strandline.sources.panel import normalise
 
 # The development universe, in order.
 DEV_UNIVERSE = (
-    "AAPL MSFT GOOGL AMZN META NVDA AVGO AMD CRM ORCL ADBE CSCO IBM QCOM AMAT MU TXN "
-    "JPM BAC WFC GS MS V MA BRK-B "
-    "JNJ UNH LLY MRK ABBV PFE TMO "
-    "XOM CVX COP "
-    "CAT DE GE HON BA "
-    "WMT COST HD MCD KO PEP PG "
-    "DIS NFLX "
-    "NEE"
-).split()
+    *("AAPL", "MSFT", "GOOGL", "AMZN", "META", "NVDA", "AVGO", "AMD", "CRM", "ORCL", "ADBE", "CSCO", "IBM", "QCOM", "AMAT", "MU", "TXN"),
+    *("JPM", "BAC", "WFC", "GS", "MS", "V", "MA", "BRK-B"),
+    *("JNJ", "UNH", "LLY", "MRK", "ABBV", "PFE", "TMO"),
+    *("XOM", "CVX", "COP"),
+    *("CAT", "DE", "GE", "HON", "BA"),
+    *("WMT", "COST", "HD", "MCD", "KO", "PEP", "PG"),
+    *("DIS", "NFLX"),
+    "NEE",
+)
 
 
 def dev_universe(spark: SparkSession, limit: int | None = None) -> DataFrame:
