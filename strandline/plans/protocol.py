@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandline.functions.metrics import finite, macro_objective
 from strandline.plans import manifest, search
 from strandline.plans.dataset import ModelDataset, TargetSpec, build_dataset, target_spec
-from strandline.plans.experiment import InnerFold, ValidationGate, chronological, inner_folds
+from strandline.plans.experiment import FoldBundle, InnerFold, ValidationGate, chronological, inner_folds, release
 from strandline.plans.models import Model, create_model, score
 
 FAMILIES = {"XGBoost": "xgboost", "LSTM": "lstm", "Transformer": "transformer"}
@@ -97,10 +97,20 @@ def run_protocol(
     set_seed(seed)
     dataset: ModelDataset = build_dataset(panel, feature_columns=features, target_columns=targets)
     dataset = dataset.with_rows(dataset.rows.persist())
-    bundle, _quarantined = chronological(dataset, target_horizon=spec.horizon)
-    gate = ValidationGate(bundle)
-    folds = inner_folds(bundle, target_horizon=spec.horizon)
-    extra = overrides or {}
+    held: list[FoldBundle | InnerFold] = []
+    try:
+        bundle, _quarantined = chronological(dataset, target_horizon=spec.horizon)
+        held.append(bundle)
+        held += (folds := inner_folds(bundle, target_horizon=spec.horizon))
+        return _searched(spec, dataset, bundle, folds, families, n_trials, n_startup, seed, locked, manifest_path, overrides or {})
+    finally:
+        release(*held)
+        dataset.rows.unpersist()
+
+
+def _searched(spec, dataset, bundle, folds, families, n_trials, n_startup, seed, locked, manifest_path, extra) -> dict[str, Any]:
+    """Search on the inner folds, freeze, open the gate, evaluate once."""
+    target, gate = spec.name, ValidationGate(bundle)
     studies = {}
     for family in families:
         study = search.Study(f"{family}_study", search.space(family)["parameters"], seed=seed, startup=n_startup)

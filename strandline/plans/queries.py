@@ -35,6 +35,13 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return _series(spark, d)
 
 
+def _once(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` written to the shared folder, for queries that read it more than once."""
+    path = scratch(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def _pick(frame: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Keys as they are, values rounded, so that engines agree on accumulated sums."""
     return frame.select(*KEYS, *(F.round(c, digits).alias(c) for c in columns))
@@ -227,9 +234,11 @@ def cross_asset(spark, d):
 
 
 def context_all(spark, d):
-    out = context.context_features(
-        panel.with_sector(_bars(spark, d)), market_index=_index(spark, d), india_vix=_series(spark, d, "1-URGENT"), usd_inr=_series(spark, d, "2-HIGH"), crude=_series(spark, d, "5-LOW")
-    )
+    """Each table is read once: bars and the four daily series, a row a day, are written down."""
+    kinds = {"market_index": None, "india_vix": "1-URGENT", "usd_inr": "2-HIGH", "crude": "5-LOW"}
+    days = _once(panel.daily_series_of(spark, d, kinds), "series")
+    series = {name: days.where(F.col(name).isNotNull()).select("session_date", (F.col(name) / 3.7).alias("close")) for name in kinds}
+    out = context.context_features(panel.with_sector(_once(_bars(spark, d), "bars")), **series)
     return _pick(out, *context.ALL_COLUMNS)
 
 
@@ -431,8 +440,8 @@ def gbt_predictions(spark, d):
     from strandline.plans.models import BoostedTrees
 
     spec = dataset.target_spec("target_return_1d")
-    kept = _roles(spark, d).where("status = 'kept'").select(*KEYS, *FEATURES, spec.name, "fold_id", "role").persist()
-    predicted = []
+    kept = _roles(spark, d).where("status = 'kept'").select(*KEYS, *FEATURES, spec.name, "fold_id", "role")
+    kept, predicted = _once(kept, "folds"), []
     for (fold_id,) in sorted(kept.select("fold_id").distinct().collect()):
         fold = kept.where(F.col("fold_id") == fold_id)
         fit, held, _ = experiment.inner_holdout(fold.where("role = 'train'").drop("fold_id", "role"), spec)

@@ -124,6 +124,14 @@ def daily_series(spark: SparkSession, sf_dir: str, priority: str | None = None)
     return orders.groupBy(F.col("o_orderdate").cast("date").alias("session_date")).agg((cents.cast("double") / F.count("*") / 100.0).alias("close"))
 
 
+def daily_series_of(spark: SparkSession, sf_dir: str, kinds: Mapping[str, str | None]) -> DataFrame:
+    """Several ``daily_series`` side by side, from one pass over the orders: a column for each priority named."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    wanted = lambda p: F.lit(True) if p is None else F.col("o_orderpriority") == p
+    means = [(F.sum(F.when(wanted(p), cents)).cast("double") / F.count_if(wanted(p)) / 100.0).alias(name) for name, p in kinds.items()]
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderdate").cast("date").alias("session_date")).agg(*means)
+
+
 def with_sector(panel: DataFrame) -> DataFrame:
     """The brand's number modulo five as the sector."""
     return panel.withColumn("sector", F.concat(F.lit("S"), (F.regexp_extract("ticker", r"(\d+)", 1).cast("int") % 5).cast("string")))
