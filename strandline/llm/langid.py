@@ -3,6 +3,10 @@
 A word the model knows scores by its log frequency in each language.  An unseen
 word falls back to its character n-grams, longest first: a stretch of letters
 that no table of n letters knows is looked up with n - 1, and so on.
+
+A frequency is log((n + s) / d), of which log(s / d) is the same for all items of a table and the rest
+is there only for languages that have the item.  A text's scores are therefore few sums
+of tables' own terms and a sparse sum over the languages of its words, done for many texts at once.
 """
 
 from __future__ import annotations
@@ -12,25 +16,25 @@ import re
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from itertools import islice
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.common import text_slices
+
 UNKNOWN = "und"
 
-#: Labelled documents that the fit takes at most (about), and the size of its tables: words,
-#: and n-grams of each length, in all languages together.  They bound the model, whatever the corpus.
+#: Labelled documents that the fit takes at most (about).  Their words and n-grams are the model,
+#: all of them, in as many languages as they have.
 MAX_TRAIN_DOCS = 20_000
-MAX_WORDS = 120_000
-MAX_GRAMS = 80_000
 LONGEST_GRAM = 4
 
-#: Words, and numbers of their vectors, in a worker's memory at most; n-grams' vectors have as many again.
-REMEMBERED, NUMBERS = 200_000, 2_000_000
+#: Letters of a word up to which unseen words are taken apart side by side; longer ones one by one.
+LONG_WORD = 40
 
 #: Added to every count.
 SMOOTHING = 0.5
@@ -59,82 +63,150 @@ def letter_runs(text: str) -> list[str]:
 
 
 @dataclass(frozen=True)
-class Table:
-    """Counts of items by language, as (language, count, language, count, ...) where
-    they are not 0, and the log frequency of an item that a language does not have."""
-
-    counts: dict[str, tuple[int, ...]]
-    unseen: np.ndarray
-
-    def score(self, item: str) -> np.ndarray | None:
-        """Log frequencies of a known item: log((n + s) / d) is log(s / d) + log((n + s) / s)."""
-        if (pairs := self.counts.get(item)) is None:
-            return None
-        out = self.unseen.copy()
-        for lang, n in zip(pairs[::2], pairs[1::2], strict=True):
-            out[lang] += math.log((n + SMOOTHING) / SMOOTHING)
+class Model:
+    """Items are numbered through: words, then n-grams of 1, 2, ... letters.  Item i has the languages
+    ``lang[ptr[i] : ptr[i + 1]]``, with what they score over a language that does not have it."""
+
+    langs: tuple[str, ...]
+    items: tuple[pa.StringArray, ...]  # words, n-grams of 1, 2, ... letters
+    ptr: np.ndarray
+    lang: np.ndarray
+    score: np.ndarray
+    unseen: np.ndarray  # table by language; the last row is for letters that no table knows
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """Number of each table's first item."""
+        return np.cumsum([0, *(len(x) for x in self.items)])
+
+    @cached_property
+    def grams(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each length: hashes in order, and the letters and number of the item behind each."""
+        out = []
+        for size, items in enumerate(self.items[1:], 1):
+            letters = _letters(items.to_pylist(), size)
+            key = _hash(letters)
+            order = np.argsort(key, kind="stable")
+            out.append((key[order], letters[order], self.first[size] + order))
         return out
 
+    @cached_property
+    def by_gram(self) -> list[dict[str, int]]:
+        return [dict(zip(items.to_pylist(), range(self.first[size], self.first[size + 1]), strict=True)) for size, items in enumerate(self.items[1:], 1)]
 
-@dataclass(frozen=True)
-class Model:
-    langs: tuple[str, ...]
-    words: Table
-    grams: tuple[Table, ...]  # of 1, 2, ... letters
-
-
-class Scorer:
-    """Log frequencies of words, with a bounded memory of those of n-grams."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.room = NUMBERS // max(1, len(model.langs))
-        self.met: dict[str, np.ndarray] = {}
-        self.unknown = np.minimum.reduce([g.unseen for g in model.grams]) if model.grams else np.zeros(0)
-
-    def gram(self, g: str) -> np.ndarray | None:
-        if (known := self.met.get(g)) is None and (known := self.model.grams[len(g) - 1].score(g)) is not None and len(self.met) < self.room:
-            self.met[g] = known
-        return known
-
-    def word(self, w: str) -> np.ndarray:
-        """A known word's log frequencies; else the mean of its n-grams', each as long as the
-        tables know it, the next one starting at the last letter of one of several letters."""
-        if (known := self.model.words.score(w)) is not None:
-            return known
-        total, n, i = np.zeros(len(self.model.langs)), 0, 0
-        marked, longest = f" {w} ", len(self.model.grams)
+    def counts(self, item: str, table: int = 0) -> dict[str, int]:
+        """How often a word, or an n-gram of ``table`` letters, was met in each language that has it."""
+        at = self.items[table].index(item).as_py()
+        span = slice(0, 0) if at < 0 else slice(self.ptr[self.first[table] + at], self.ptr[self.first[table] + at + 1])
+        return {self.langs[x]: round((math.exp(y) - 1) * SMOOTHING) for x, y in zip(self.lang[span], self.score[span], strict=True)}
+
+    def __getstate__(self):
+        return {k: self.__dict__[k] for k in self.__dataclass_fields__}
+
+
+def _letters(words: list[str], width: int) -> np.ndarray:
+    """Code points, a row a word, 0 behind its end."""
+    return np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width)
+
+
+def _hash(letters: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(letters), dtype=np.uint64)
+    for column in letters.T:
+        out = out * np.uint64(0x9E3779B97F4A7C15) + column + np.uint64(1)
+    return out
+
+
+def _flat(ptr: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all entries of the given rows, and how many each has."""
+    sizes = ptr[rows + 1] - ptr[rows]
+    return np.repeat(ptr[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum())), sizes
+
+
+Parts = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _side_by_side(model: Model, words: np.ndarray, texts: list[str]) -> Parts:
+    """(word, table, item or -1) of every n-gram of unseen words, the longest known one at each place, the next
+    one starting at the last letter of one of several letters."""
+    marked = _letters([f" {w} " for w in texts], LONG_WORD + 2)
+    length, at, parts = (marked > 0).sum(axis=1), np.zeros(len(texts), dtype=np.int64), []
+    active, longest = np.arange(len(texts)), len(model.grams)
+    while len(active):
+        left, found = active, []
+        for size in range(longest, 0, -1):
+            fits = left[at[left] + size <= length[left]]
+            key, letters, item = model.grams[size - 1]
+            if not len(fits) or not len(key):
+                continue
+            asked = marked[fits[:, None], at[fits][:, None] + np.arange(size)]
+            place = np.minimum(np.searchsorted(key, _hash(asked)), len(key) - 1)
+            same = (letters[place] == asked).all(axis=1)
+            hit = fits[same]
+            parts.append((words[hit], np.full(len(hit), size), item[place[same]]))
+            found.append((hit, max(1, size - 1)))
+            left = np.setdiff1d(left, hit, assume_unique=True)
+        parts.append((words[left], np.full(len(left), longest + 1), np.full(len(left), -1)))
+        for hit, step in found:
+            at[hit] += step
+        at[left] += 1
+        active = active[at[active] < length[active]]
+    return parts
+
+
+def _one_by_one(model: Model, words: np.ndarray, texts: list[str]) -> Parts:
+    """The same for words of any length."""
+    longest, parts = len(model.by_gram), []
+    for word, text in zip(words, texts, strict=True):
+        marked, i, tables, items = f" {text} ", 0, [], []
         while i < len(marked):
             for size in range(min(longest, len(marked) - i), 0, -1):
-                if (known := self.gram(marked[i : i + size])) is not None:
-                    total += known
-                    i += max(1, size - 1)
+                if (item := model.by_gram[size - 1].get(marked[i : i + size])) is not None:
                     break
             else:
-                total += self.unknown
-                i += 1
-            n += 1
-        return total / max(1, n)
-
-
-def _table(rows: DataFrame, langs: tuple[str, ...], most: int) -> Table:
-    """Counts of the items among the ``most`` / languages commonest of any language (ties go to
-    the smaller item).  A kept item keeps its count in every language, and log frequencies are
-    over all items, kept or not."""
-    counted = rows.groupBy("lang", "item").agg(F.sum("n").alias("n")).persist()
-    try:
-        totals = {r[0]: r[1] for r in counted.groupBy("lang").agg(F.sum("n")).collect()}
-        order = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
-        top = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, most // len(langs))).select("item").distinct()
-        place, counts = {x: i for i, x in enumerate(langs)}, {}
-        # A bounded table, in few parts as each is a job.
-        for lang, item, n in counted.join(top, "item", "left_semi").select("lang", "item", "n").coalesce(4).toLocalIterator():
-            counts.setdefault(item, []).append((place[lang], n))
-    finally:
-        counted.unpersist()
-    counts = {item: tuple(x for pair in sorted(pairs) for x in pair) for item, pairs in counts.items()}
-    size = max(1, len(counts))
-    return Table(counts, np.array([math.log(SMOOTHING / (totals.get(x, 0) + SMOOTHING * size)) for x in langs]))
+                size, item = longest + 1, -1
+            tables.append(size)
+            items.append(item)
+            i += 1 if item < 0 else max(1, size - 1)
+        parts.append((np.full(len(items), word), np.array(tables), np.array(items)))
+    return parts
+
+
+def _weighed(model: Model, unique: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: how much of each table's own term it has, and its sparse row (ptr, language, score)."""
+    n, longest = len(unique), len(model.items) - 1
+    known = pc.index_in(unique, value_set=model.items[0])
+    is_known = known.is_valid().to_numpy(zero_copy_only=False)
+    there = np.flatnonzero(is_known)
+    parts: Parts = [(there, np.zeros(len(there), dtype=np.int64), known.drop_null().to_numpy().astype(np.int64))]
+    new = np.flatnonzero(~is_known)
+    if len(new):
+        asked = unique.take(pa.array(new))
+        long = pc.greater(pc.utf8_length(asked), LONG_WORD).to_numpy(zero_copy_only=False)
+        for some, split in ((~long, _side_by_side), (long, _one_by_one)):
+            if some.any():
+                parts += split(model, new[some], asked.filter(pa.array(some)).to_pylist())
+    word, table, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+    share = 1.0 / np.maximum(1, np.bincount(word, minlength=n))[word]
+    terms = np.bincount(word * (longest + 2) + table, weights=share, minlength=n * (longest + 2)).reshape(n, -1)
+    order = np.argsort(word, kind="stable")
+    order = order[item[order] >= 0]
+    at, sizes = _flat(model.ptr, item[order])
+    ptr = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(word[order], sizes), minlength=n))]).astype(np.int64)
+    return terms, ptr, model.lang[at], model.score[at] * np.repeat(share[order], sizes)
+
+
+def _totals(model: Model, words: list[list[str]]) -> np.ndarray:
+    """Log scores, texts by languages, summed over words."""
+    n, langs = len(words), len(model.langs)
+    of = np.repeat(np.arange(n), [len(w) for w in words])
+    if not len(of):
+        return np.zeros((n, langs))
+    encoded = pa.array([w for text in words for w in text], pa.string()).dictionary_encode()
+    which = encoded.indices.to_numpy()
+    terms, ptr, lang, score = _weighed(model, encoded.dictionary)
+    own = np.stack([np.bincount(of, weights=terms[which, k], minlength=n) for k in range(terms.shape[1])], axis=1) @ model.unseen
+    at, sizes = _flat(ptr, which)
+    return own + np.bincount(np.repeat(of, sizes) * langs + lang[at], weights=score[at], minlength=n * langs).reshape(n, langs)
 
 
 def shares(sizes: dict[str, int], most: int) -> dict[str, float]:
@@ -160,85 +232,72 @@ def fit(
     lang_col: str = "lang",
     id_col: str = "doc_id",
     max_train_docs: int = MAX_TRAIN_DOCS,
-    max_words: int = MAX_WORDS,
-    max_grams: int = MAX_GRAMS,
     longest_gram: int = LONGEST_GRAM,
-    max_langs: int = 500,
 ) -> Model:
-    """Learn from the labelled rows of ``docs``, whole texts.
+    """Learn from the labelled rows of ``docs``, whole texts, in any number of languages.
 
     Of more than ``max_train_docs`` labelled rows, about that many are taken by
     a hash of the id, evenly of all languages: of a language with fewer rows than
-    its part, all.  Rows without label, text or letters teach nothing.  The model
-    is bounded by ``max_langs`` languages (beyond them the fit refuses) and by
-    ``max_words`` words and ``max_grams`` n-grams of each length, the commonest.
+    its part, all.  Every word and n-gram of these rows is kept; nothing else bounds the model, which the
+    driver holds and sends to every worker.  Rows without label, text or letters teach nothing.
     """
     lang = F.col(lang_col).cast("string")
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang.alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(max_langs + 1).collect()}
-    if len(sizes) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    parts = {x: s for x, s in shares(sizes, max_train_docs).items() if s < 1}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    parts = [(x, threshold(s)) for x, s in shares(sizes, max_train_docs).items() if s < 1]
     if parts:
-        bound = F.create_map(*(y for x, s in parts.items() for y in (F.lit(x), F.lit(threshold(s)))))
-        bound = F.coalesce(F.element_at(bound, F.col("lang")), F.lit((1 << 63) - 1))
-        rows = rows.where(F.xxhash64("id") <= bound)
+        bounds = docs.sparkSession.createDataFrame(parts, "lang string, bound long")
+        rows = rows.join(bounds, "lang", "left").where(F.coalesce(F.xxhash64("id") <= F.col("bound"), F.lit(True)))
     # Letters run on as in the prediction's pattern; counts are combined before they move.
     tokens = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
-    words = rows.select("lang", tokens.alias("item")).where("item <> ''").groupBy("lang", "item").agg(F.count("*").alias("n")).persist()
-    try:
-        langs = tuple(sorted(r[0] for r in words.select("lang").distinct().collect()))
-        if not langs:
-            return Model((), Table({}, np.zeros(0)), ())
-        tables = []
-        for size in range(1, longest_gram + 1):
-            marked = F.concat(F.lit(" "), F.col("item"), F.lit(" "))
-            placed = words.withColumn("marked", marked).where(F.length("marked") >= size)
-            placed = placed.select("lang", "marked", "n", F.explode(F.expr(f"sequence(1, length(marked) - {size - 1})")).alias("at"))
-            grams = placed.select("lang", F.expr(f"substring(marked, at, {size})").alias("item"), "n")
-            tables.append(_table(grams, langs, max_grams))
-        return Model(langs, _table(words, langs, max_words), tuple(tables))
-    finally:
-        words.unpersist()
-
-
-def _predictor(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    words = rows.select("lang", tokens.alias("item")).where("item <> ''").groupBy("lang", "item").agg(F.count("*").alias("n"))
+    marked = F.concat(F.lit(" "), F.col("item"), F.lit(" "))
+    # A word itself, and every n-gram that starts at one of its letters.
+    placed = words.withColumn("marked", marked).select("lang", "item", "marked", "n", F.explode(F.expr("sequence(1, length(marked))")).alias("at"))
+    pieces = [F.struct(F.lit(0).alias("size"), F.when(F.col("at") == 1, F.col("item")).alias("item"))]
+    pieces += [F.struct(F.lit(k).alias("size"), F.when(F.col("at") + k - 1 <= F.length("marked"), F.expr(f"substring(marked, at, {k})")).alias("item")) for k in range(1, longest_gram + 1)]
+    items = placed.select("lang", "n", F.explode(F.array(*pieces)).alias("p")).select("lang", "n", "p.*").where("item is not null")
+    counted = items.groupBy("size", "item", "lang").agg(F.sum("n").alias("n"))
+    # One row an item; its languages are in order.
+    known = counted.groupBy("size", "item").agg(F.array_sort(F.collect_list(F.struct("lang", "n"))).alias("in")).toArrow().sort_by([("size", "ascending"), ("item", "ascending")])
+    of = known.column("size").to_numpy()
+    entries = known.column("in").combine_chunks()
+    flat = pc.list_flatten(entries)
+    named = flat.field("lang").dictionary_encode()
+    langs = tuple(sorted(named.dictionary.to_pylist()))
+    number = {x: i for i, x in enumerate(langs)}
+    place = np.array([number[x] for x in named.dictionary.to_pylist()], dtype=np.int64)
+    lang_of = place[named.indices.to_numpy()] if langs else np.empty(0, dtype=np.int64)
+    n = flat.field("n").to_numpy().astype(np.float64)
+    lengths = pc.list_value_length(entries).to_numpy().astype(np.int64)
+    table_of, tables = np.repeat(of, lengths).astype(np.int64), longest_gram + 1
+    totals = np.bincount(table_of * len(langs) + lang_of, weights=n, minlength=tables * len(langs)).reshape(tables, len(langs))
+    unseen = np.log(SMOOTHING / (totals + SMOOTHING * np.maximum(1, np.bincount(of, minlength=tables))[:, None]))
+    unseen = np.concatenate([unseen, unseen[1:].min(axis=0, keepdims=True)])
+    item = known.column("item").combine_chunks()
+    bounds = np.searchsorted(of, np.arange(tables + 1))
+    by_table = tuple(pa.concat_arrays([item.slice(a, b - a)]) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+    return Model(langs, by_table, np.concatenate([[0], np.cumsum(lengths)]), lang_of, np.log((n + SMOOTHING) / SMOOTHING), unseen)
+
+
+def _predictor(shared, column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        langs, scorer = model.langs, Scorer(model)
-        most = max(1, min(REMEMBERED, NUMBERS // max(1, len(langs))))
-        seen: dict[str, int] = {}
-        vectors = np.empty((1024, len(langs)))
-
-        def index(w: str) -> int:
-            nonlocal vectors
-            if len(seen) == len(vectors):
-                vectors = np.concatenate([vectors, np.empty_like(vectors)])
-            seen[w] = len(seen)
-            vectors[len(seen) - 1] = scorer.word(w)
-            return len(seen) - 1
-
-        for batch in batches:
-            predicted, scores = [], []
-            for text in batch.column("_text"):
-                words = letter_runs((text.as_py() or "").lower())
-                if not words or not langs:
-                    predicted.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                if len(seen) > most:
-                    # Common words are met early, and dictionaries keep their order.
-                    seen = dict(islice(seen.items(), most // 3))
-                at = [seen[w] if w in seen else index(w) for w in words]
-                total = vectors[at].sum(axis=0)
-                # The posterior, tempered so that long texts are not all 1.0.
-                total /= math.sqrt(len(words))
-                p = np.exp(total - total.max())
-                best = int(np.argmax(total))
-                predicted.append(langs[best])
-                scores.append(float(p[best] / p.sum()))
-            names = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+        for whole in batches:
+            for first, end, _, _ in text_slices(whole.column(column), 1 << 21):
+                batch = whole.slice(first, end - first)
+                words = [letter_runs((text.as_py() or "").lower()) for text in batch.column(column)]
+                n = np.array([len(w) for w in words])
+                told, best, scores = (n > 0) & (len(model.langs) > 0), np.zeros(len(words), dtype=np.int64), np.zeros(len(words))
+                if told.any():
+                    # The posterior, tempered so that long texts are not all 1.0.
+                    total = _totals(model, words) / np.sqrt(np.maximum(1, n))[:, None]
+                    best = total.argmax(axis=1)
+                    p = np.exp(total - total.max(axis=1, keepdims=True))
+                    scores = np.where(told, p[np.arange(len(p)), best] / p.sum(axis=1), 0.0)
+                predicted = [model.langs[b] if t else UNKNOWN for b, t in zip(best, told, strict=True)]
+                names = [x for x in batch.schema.names if x != column]
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return run
 
@@ -248,13 +307,14 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tupl
 
     A text that is null or has no letter (Unicode category L) gets ``und`` and 0.
     Equal scores go to the language first in the alphabet.  The model learned
-    from nothing says ``und`` of everything.  Texts are read whole, row by row.
-    The model goes to every worker; the bounds of its fit are bounds of its size.
+    from nothing says ``und`` of everything.  Texts are read whole.
+    The model goes to every worker; the rows it learned from bound its size.
     """
     spark: SparkSession = docs.sparkSession
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
-    return rows.mapInArrow(_predictor(spark.sparkContext.broadcast(model)), f"{schema}, lang_pred string, score double")
+    column = "_" * (1 + max((len(c) for c in keep), default=0))  # no other column's name
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias(column))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != column)
+    return rows.mapInArrow(_predictor(spark.sparkContext.broadcast(model), column), f"{schema}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -692,7 +692,29 @@ def test_samples_are_even_and_never_empty(spark):
     assert langid.threshold(1e-30) > langid.threshold(0) - 1 >= -(2**63) and langid.threshold(1e-9) > -(2**63) + 10**10
     rows = [(i, "the water", "en") for i in range(300)] + [(900, "das wasser", "de")]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_train_docs=20)
-    assert model.langs == ("de", "en") and 2 <= model.words.counts["the"][1] <= 60 and model.words.counts["das"] == (0, 1)
+    assert model.langs == ("de", "en") and list(model.counts("the")) == ["en"] and 2 <= model.counts("the")["en"] <= 60 and model.counts("das") == {"de": 1}
+
+
+def test_any_number_of_languages_and_all_words_are_kept(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda i: letters[i % 26] + letters[i // 26 % 26] + letters[i // 676 % 26]
+    rows = [(i, f"common {name(i)}qu{name(i * 7 + 3)} {name(i)}xo", f"l{i:03d}") for i in range(620)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 620 and len(model.counts("common")) == 620 and len(model.items[0]) == 1 + 2 * 620
+    asked = spark.createDataFrame([(i, t) for i, t, _ in rows], "_text long, text string")
+    got = {r["_text"]: r["lang_pred"] for r in langid.predict(asked, model, keep=("_text",)).collect()}
+    assert got == {i: x for i, _, x in rows}
+    few = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_train_docs=310)
+    assert 150 < len(few.langs) <= 620
+
+
+def test_long_words_are_taken_apart_as_short_ones(spark, monkeypatch):
+    rows = [(i, prose(40 + i, 40) + " donaudampfschifffahrt über", "de" if i % 2 else "en") for i in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [["garden", "wintergardens", "xyqЖ", "schifffahrtsgarten" * 2, "a" * 39, "𐐀b"], ["q" * 5000, "riverstone" * 300], []]
+    at_once = langid._totals(model, asked)
+    monkeypatch.setattr(langid, "LONG_WORD", 1)
+    assert np.allclose(langid._totals(model, asked), at_once, rtol=0, atol=1e-9) and (at_once[2] == 0).all()
 
 
 def test_the_hash_of_held_out_rows(spark):
