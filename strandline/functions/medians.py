@@ -119,7 +119,9 @@ def expanding_median(series: DataFrame, value: str, *, order: str = "session_dat
     counts = np.zeros((-(-n // size), len(bounds) + 1), dtype=np.int64)
     counts[cells["_block"], cells["_bucket"]] = cells["count"]
     facts, pairs = _ranges(counts)
-    needs = series.sparkSession.createDataFrame(pairs, "_for int, _bucket int")  # blocks times buckets at most, estimated before it is broadcast
+    needs = series.sparkSession.createDataFrame(pairs, "_for int, _bucket int")
+    # Blocks times buckets at most: 131,072 pairs of small numbers by default.
+    needs = F.broadcast(needs) if len(pairs) <= BLOCKS * BLOCKS * BUCKETS_A_BLOCK else needs
     earlier = placed.join(needs, "_bucket").where(F.col("_block") < F.col("_for"))
     earlier = earlier.select(F.col("_for").alias("_block"), TICK, "_v", F.lit(False).alias("_own"), F.lit(True).alias("_there"))
     own = values.select("_block", TICK, "_v", F.lit(True).alias("_own"), F.col("_v").isNotNull().alias("_there"))

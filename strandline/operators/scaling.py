@@ -57,10 +57,11 @@ def fit_by(rows: DataFrame, features: Sequence[str], *, kind: str = "standard",
     return rows.groupBy(*keys).agg(*_parameters(features, kind))
 
 
-def scale_by(rows: DataFrame, parameters: DataFrame, features: Sequence[str], *, keys: Sequence[str] = ("fold_id",)) -> DataFrame:
-    """``rows`` with scaled features.  The parameters are one row a group; their estimated size decides
-    whether they are broadcast."""
-    joined = rows.join(parameters, list(keys))
+def scale_by(rows: DataFrame, parameters: DataFrame, features: Sequence[str], *, keys: Sequence[str] = ("fold_id",), few: bool | None = None) -> DataFrame:
+    """``rows`` with scaled features.  The parameters are one row a group: ``few`` says that they are few enough
+    to go to every executor, as folds are; of other keys the optimiser decides by size."""
+    few = tuple(keys) == ("fold_id",) if few is None else few
+    joined = rows.join(F.broadcast(parameters) if few else parameters, list(keys))
     scaled = {f: (F.col(f) - F.col(f"{f}__centre")) / F.col(f"{f}__scale") for f in features}
     return joined.withColumns(scaled).drop(*(f"{f}__{x}" for f in features for x in ("centre", "scale")))
 

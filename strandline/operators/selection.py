@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 #: Bits of a digit: six passes over the rows, and 2,048 counters an open path in each task.
 DIGIT = 11
 
+#: Groups up to which their numbers are sent to all executors; beyond it rows are exchanged.
+BROADCAST_GROUPS = 50_000
+
 
 def ordered_bits(values: np.ndarray) -> np.ndarray:
     """Doubles as unsigned integers in the same order; NaN is the largest, and both zeros are one."""
@@ -96,6 +99,8 @@ def exact_quantiles(rows: DataFrame, features: Sequence[str], probabilities: Seq
         return []
     kinds = [rows.schema[k].dataType.simpleString() for k in keys]
     numbered = rows.sparkSession.createDataFrame([(*g, i) for i, g in enumerate(groups)], ", ".join(f"`_k{i}` {kind}" for i, kind in enumerate(kinds)) + ", _g int")
+    if len(groups) <= BROADCAST_GROUPS:
+        numbered = F.broadcast(numbered)
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
     narrow = rows.join(numbered, same).select("_g", *(F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
