@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import WORD, cut, utf8, whole_row
 
+#: Sweeps of one job; how near they came is looked at after each.
+SWEEPS_A_JOB = 5
+
 #: Cells up to which their table is sent to all executors; beyond it is joined by exchange.
 BROADCAST_CELLS = 50_000
 
@@ -106,7 +109,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Target], *, sweeps: int, tolera
         for dim in targets:
             mass = F.sum("weight").over(Window.partitionBy(dim))
             out = out.withColumn("weight", F.when(mass > 0, F.col("weight") * F.col(f"_t_{dim}") / mass).otherwise(0.0))
-        if sweep % 2 or sweep == sweeps - 1:
+        if sweep % SWEEPS_A_JOB == SWEEPS_A_JOB - 1 or sweep == sweeps - 1:
             out = cut(out, "raked")
             if (_gaps(out, tuple(targets)).agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
                 break
@@ -126,18 +129,19 @@ def mix(
     if set(dims) != set(targets):
         raise ValueError("every dimension needs a target")
     named = {d: F.coalesce(c.cast("string"), F.lit("(null)")) for d, c in dims.items()}
-    rows = docs.withColumns({**{f"_d_{d}": c for d, c in named.items()}, "n_tokens": F.regexp_count(utf8(text_col), F.lit(WORD)).cast("long")})
-    counted = rows.groupBy(*(F.col(f"_d_{d}").alias(d) for d in dims)).agg(F.sum("n_tokens").alias("tokens"))
+    own = "_" * (1 + max(len(c) for c in docs.columns))  # no input column's name begins so
+    rows = docs.withColumns({**{f"{own}{d}": c for d, c in named.items()}, "n_tokens": F.regexp_count(utf8(text_col), F.lit(WORD)).cast("long")})
+    counted = rows.groupBy(*(F.col(f"{own}{d}").alias(d) for d in dims)).agg(F.sum("n_tokens").alias("tokens"))
     cells = rake(counted, targets, sweeps=sweeps)
     rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     cells = cells.withColumn("_rate", rate)
     top = cells.agg(F.max("_rate").alias("_top"))
-    cells = cells.crossJoin(F.broadcast(top)).select(*(F.col(d).alias(f"_d_{d}") for d in dims), F.when(F.col("_top") > 0, F.col("_rate") / F.col("_top")).otherwise(0.0).alias("prob"))
+    cells = cells.crossJoin(F.broadcast(top)).select(*(F.col(d).alias(f"{own}{d}") for d in dims), F.when(F.col("_top") > 0, F.col("_rate") / F.col("_top")).otherwise(0.0).alias("prob"))
     cells = cut(cells, "probabilities")
     if cells.count() <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
-    out = rows.drop("prob").join(cells, [f"_d_{d}" for d in dims], "left")
-    out = out.withColumns({d: F.col(f"_d_{d}") for d in dims}).drop(*(f"_d_{d}" for d in dims))
+    out = rows.drop("prob").join(cells, [f"{own}{d}" for d in dims], "left")
+    out = out.withColumns({d: F.col(f"{own}{d}") for d in dims}).drop(*(f"{own}{d}" for d in dims))
     return out.withColumn("sampled", uniform(F.col(id_col), seed) < F.col("prob"))
 
 

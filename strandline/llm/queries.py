@@ -127,19 +127,23 @@ def _mix_sql() -> str:
             named = " ".join(f"WHEN '{v}' THEN {s}" for v, s in target.items())
             left = max(0.0, 1.0 - sum(target.values()))
             steps.append(f"s_{dim} AS (SELECT {dim}, sum(tokens) AS m, CASE {dim} {named} END AS n FROM c GROUP BY 1)")
-            steps.append(f"r_{dim} AS (SELECT {dim}, coalesce(n, {left} * m / (SELECT sum(m) FROM s_{dim} WHERE n IS NULL)) AS s FROM s_{dim})")
+            # Unnamed values share what is left of 1; where nothing is, they keep their natural share.
+            u, k, n = f"(SELECT sum(m) FROM s_{dim} WHERE n IS NULL)", f"(SELECT sum(m) FROM s_{dim} WHERE n IS NOT NULL)", f"(SELECT sum(n) FROM s_{dim})"
+            rest = f"{left} * m / nullif({u}, 0)" if left > mixing.NOTHING_LEFT else f"CASE WHEN {k} > 0 AND {n} > 0 THEN {n} * m / {k} ELSE m END"
+            steps.append(f"r_{dim} AS (SELECT {dim}, coalesce(n, {rest}) AS s FROM s_{dim})")
         else:
             steps.append(f"r_{dim} AS (SELECT {dim}, pow(sum(tokens), {target}) AS s FROM c GROUP BY 1)")
-        steps.append(f"t_{dim} AS (SELECT {dim}, s / sum(s) OVER () AS t_{dim} FROM r_{dim})")
+        steps.append(f"t_{dim} AS (SELECT {dim}, CASE WHEN sum(s) OVER () > 0 THEN s / sum(s) OVER () ELSE 0.0 END AS t_{dim} FROM r_{dim})")
     joins = " ".join(f"JOIN t_{dim} USING ({dim})" for dim in MIX_TARGETS)
     steps.append(f"w0 AS MATERIALIZED (SELECT *, tokens AS weight FROM c {joins})")
     n = 0
     for _ in range(MIX_SWEEPS):
         for dim in MIX_TARGETS:
             n += 1
-            steps.append(f"w{n} AS MATERIALIZED (SELECT * REPLACE (weight * t_{dim} / sum(weight) OVER (PARTITION BY {dim}) AS weight) FROM w{n - 1})")
-    steps.append(f"p AS (SELECT source, lang, topic, (weight / tokens) / max(weight / tokens) OVER () AS prob FROM w{n})")
-    uniform = "CAST('0x' || substr(md5('0:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0"
+            steps.append(f"w{n} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {dim}) > 0 THEN weight * t_{dim} / sum(weight) OVER (PARTITION BY {dim}) ELSE 0.0 END AS weight) FROM w{n - 1})")
+    steps.append(f"q AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0.0 END AS rate FROM w{n})")
+    steps.append("p AS (SELECT source, lang, topic, CASE WHEN max(rate) OVER () > 0 THEN rate / max(rate) OVER () ELSE 0.0 END AS prob FROM q)")
+    uniform = "CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0"
     return f"WITH {', '.join(steps)} SELECT doc_id, source, lang, topic, n_tokens, round(prob, 9) AS prob, {uniform} < prob AS sampled FROM d JOIN p USING (source, lang, topic)"
 
 

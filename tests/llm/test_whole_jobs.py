@@ -3,10 +3,12 @@
 import collections
 import zlib
 
+import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandline.llm import mixing, packing, queries
+from tests.compare import assert_same
 from tests.llm.fixtures import prose
 
 
@@ -37,6 +39,21 @@ def test_a_value_named_with_nothing_is_left_out_and_all_unnamed_stay(spark):
     assert all(r["prob"] > 0 for r in only)
 
 
+def test_mixing_sql_has_the_operators_rule_for_unnamed_and_null_values(spark, tmp_path):
+    extra = spark.createDataFrame([(5000, None, "it", None), (None, "no id here", None, "t"), (5001, "", "xx", "empty"), (5002, "a | b | c", "en", "t"), (5003, "HEY!! you", "pt", None)], "doc_id long, text string, lang string, source string")
+    languages(spark).unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert_same(queries.op4_proportional_mix(spark, str(tmp_path)), con, queries.SQL["op4_proportional_mix"])
+
+
+def test_mixing_keeps_input_columns_of_any_name(spark):
+    docs = languages(spark).limit(30).withColumns({"_d_lang": F.lit("mine"), "_d_source": F.lit(7), "__lang": F.lit("too")})
+    out = mixing.mix(docs, {"lang": F.col("lang"), "source": F.col("source")}, {"lang": 1.0, "source": 0.5})
+    assert set(docs.columns) < set(out.columns)
+    assert {(r["_d_lang"], r["_d_source"], r["__lang"]) for r in out.collect()} == {("mine", 7, "too")}
+
+
 def test_pipeline_fills_a_null_language_and_keeps_unnamed_ones(spark, sf_dir):
     docs = languages(spark).withColumn("text", F.concat(F.coalesce("lang", F.lit("it")), F.lit("wort "), F.col("text")))
     told = corpus_pipeline.language(spark, docs, sf_dir)
