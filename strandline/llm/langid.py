@@ -36,6 +36,9 @@ LONGEST_GRAM = 4
 #: Letters of a word up to which unseen words are taken apart side by side; longer ones one by one.
 LONG_WORD = 40
 
+#: Languages up to which their shares are sent to all executors (a few megabytes); beyond it rows are exchanged.
+BROADCAST_LANGS = 50_000
+
 #: Added to every count.
 SMOOTHING = 0.5
 
@@ -247,6 +250,8 @@ def fit(
     parts = [(x, threshold(s)) for x, s in shares(sizes, max_train_docs).items() if s < 1]
     if parts:
         bounds = docs.sparkSession.createDataFrame(parts, "lang string, bound long")
+        if len(parts) <= BROADCAST_LANGS:
+            bounds = F.broadcast(bounds)
         rows = rows.join(bounds, "lang", "left").where(F.coalesce(F.xxhash64("id") <= F.col("bound"), F.lit(True)))
     # Letters run on as in the prediction's pattern; counts are combined before they move.
     tokens = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
