@@ -132,6 +132,8 @@ def mix(
     own = "_" * (1 + max(len(c) for c in docs.columns))  # no input column's name begins so
     rows = docs.withColumns({**{f"{own}{d}": c for d, c in named.items()}, "n_tokens": F.regexp_count(utf8(text_col), F.lit(WORD)).cast("long")})
     counted = rows.groupBy(*(F.col(f"{own}{d}").alias(d) for d in dims)).agg(F.sum("n_tokens").alias("tokens"))
+    # Shares of each dimension come from the cells, so the texts are counted once.
+    counted = cut(counted, "counted")
     cells = rake(counted, targets, sweeps=sweeps)
     rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     cells = cells.withColumn("_rate", rate)
