@@ -33,6 +33,9 @@ UNKNOWN = "und"
 MAX_TRAIN_DOCS = 20_000
 LONGEST_GRAM = 4
 
+#: Bytes of texts whose words are scored at a time: each word costs some hundred bytes meanwhile.
+SLICE = 1 << 19
+
 #: Letters of a word up to which unseen words are taken apart side by side; longer ones one by one.
 LONG_WORD = 40
 
@@ -282,14 +285,18 @@ def fit(
     item = known.column("item").combine_chunks()
     bounds = np.searchsorted(of, np.arange(tables + 1))
     by_table = tuple(pa.concat_arrays([item.slice(a, b - a)]) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
-    return Model(langs, by_table, np.concatenate([[0], np.cumsum(lengths)]), lang_of, np.log((n + SMOOTHING) / SMOOTHING), unseen)
+    model = Model(langs, by_table, np.concatenate([[0], np.cumsum(lengths)]), lang_of, np.log((n + SMOOTHING) / SMOOTHING), unseen)
+    # What was collected is larger than the model, and Arrow keeps freed memory for itself.
+    del known, entries, flat, named, item, of, table_of
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _predictor(shared, column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for whole in batches:
-            for first, end, _, _ in text_slices(whole.column(column), 1 << 21):
+            for first, end, _, _ in text_slices(whole.column(column), SLICE):
                 batch = whole.slice(first, end - first)
                 words = [letter_runs((text.as_py() or "").lower()) for text in batch.column(column)]
                 n = np.array([len(w) for w in words])

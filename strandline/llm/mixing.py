@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import WORD, cut, utf8, whole_row
 
 #: Sweeps of one job; how near they came is looked at after each.
-SWEEPS_A_JOB = 5
+SWEEPS_A_JOB = 2
 
 #: Cells up to which their table is sent to all executors; beyond it is joined by exchange.
 BROADCAST_CELLS = 50_000
