@@ -96,6 +96,39 @@ class Model:
             out.append((key[order], letters[order], self.first[size] + order))
         return out
 
+    @cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+        """Hashes of words in order with the words' numbers; long words by themselves."""
+        keys, at, long = [], [], {}
+        for first in range(0, len(self.items[0]), 1 << 16):
+            some = self.items[0].slice(first, 1 << 16)
+            short = pc.less_equal(pc.utf8_length(some), LONG_WORD)
+            at.append(first + np.flatnonzero(short.to_numpy(zero_copy_only=False)))
+            keys.append(_hash(_letters(some.filter(short).to_pylist(), LONG_WORD)))
+            rest = np.flatnonzero(~short.to_numpy(zero_copy_only=False))
+            long |= dict(zip(some.take(pa.array(rest)).to_pylist(), (first + rest).tolist(), strict=True))
+        if not keys:
+            return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), long
+        key, number = np.concatenate(keys), np.concatenate(at)
+        order = np.argsort(key, kind="stable")
+        return key[order], number[order], long
+
+    def known(self, asked: pa.StringArray) -> np.ndarray:
+        """Numbers of words, -1 for unseen ones; what a hash finds is compared letter by letter."""
+        key, number, long = self.words
+        out = np.full(len(asked), -1, dtype=np.int64)
+        short = pc.less_equal(pc.utf8_length(asked), LONG_WORD).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(short)
+        if len(at) and len(key):
+            some = asked.take(pa.array(at))
+            mine = _hash(_letters(some.to_pylist(), LONG_WORD))
+            found = number[np.minimum(np.searchsorted(key, mine), len(key) - 1)]
+            same = pc.equal(self.items[0].take(pa.array(found)), some).to_numpy(zero_copy_only=False)
+            out[at[same]] = found[same]
+        for i in np.flatnonzero(~short):
+            out[i] = long.get(asked[int(i)].as_py(), -1)
+        return out
+
     @cached_property
     def by_gram(self) -> list[dict[str, int]]:
         return [dict(zip(items.to_pylist(), range(self.first[size], self.first[size + 1]), strict=True)) for size, items in enumerate(self.items[1:], 1)]
@@ -180,11 +213,9 @@ def _one_by_one(model: Model, words: np.ndarray, texts: list[str]) -> Parts:
 def _weighed(model: Model, unique: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each word: how much of each table's own term it has, and its sparse row (ptr, language, score)."""
     n, longest = len(unique), len(model.items) - 1
-    known = pc.index_in(unique, value_set=model.items[0])
-    is_known = known.is_valid().to_numpy(zero_copy_only=False)
-    there = np.flatnonzero(is_known)
-    parts: Parts = [(there, np.zeros(len(there), dtype=np.int64), known.drop_null().to_numpy().astype(np.int64))]
-    new = np.flatnonzero(~is_known)
+    known = model.known(unique)
+    there, new = np.flatnonzero(known >= 0), np.flatnonzero(known < 0)
+    parts: Parts = [(there, np.zeros(len(there), dtype=np.int64), known[there])]
     if len(new):
         asked = unique.take(pa.array(new))
         long = pc.greater(pc.utf8_length(asked), LONG_WORD).to_numpy(zero_copy_only=False)

@@ -9,9 +9,10 @@ sample that meets the targets without repeating a document.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager, nullcontext
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import WORD, cut, utf8, whole_row
@@ -99,11 +100,30 @@ def rake(cells: DataFrame, targets: Mapping[str, Target], *, sweeps: int, tolera
     ``gaps`` tells what is missing of the others.  Up to ``BROADCAST_CELLS`` cells are fitted in one
     task, without an exchange; more are fitted by exchanges.
     """
+    few = cells.count() <= BROADCAST_CELLS
+    with _interpreted(cells.sparkSession) if few else nullcontext():
+        return _raked(cells, targets, sweeps, tolerance, few)
+
+
+@contextmanager
+def _interpreted(spark: SparkSession) -> Iterator[None]:
+    """No code is generated meanwhile: for some cells it costs more time and memory of the driver than it saves."""
+    own = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _raked(cells: DataFrame, targets: Mapping[str, Target], sweeps: int, tolerance: float, few: bool) -> DataFrame:
     out = cells
     for dim, target in targets.items():
         out = _shares(out, dim, target)
     out = cut(out.withColumn("weight", F.col("tokens").cast("double")), "cells")
-    few = out.count() <= BROADCAST_CELLS
     for sweep in range(sweeps):
         out = out.coalesce(1) if few else out
         for dim in targets:

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -713,6 +714,7 @@ def test_long_words_are_taken_apart_as_short_ones(spark, monkeypatch):
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     asked = [["garden", "wintergardens", "xyqЖ", "schifffahrtsgarten" * 2, "a" * 39, "𐐀b"], ["q" * 5000, "riverstone" * 300], []]
     at_once = langid._totals(model, asked)
+    model = pickle.loads(pickle.dumps(model))  # without what it has looked up
     monkeypatch.setattr(langid, "LONG_WORD", 1)
     assert np.allclose(langid._totals(model, asked), at_once, rtol=0, atol=1e-9) and (at_once[2] == 0).all()
 
