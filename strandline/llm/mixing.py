@@ -42,23 +42,21 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def _shares(cells: DataFrame, dim: str, target: Target) -> DataFrame:
-    """``cells`` with the target share of each cell's value of ``dim``.
+def _values(cells: DataFrame, dim: str, target: Target) -> DataFrame:
+    """The values of ``dim`` among ``cells`` and their target shares, ``_t_<dim>``.
 
     Values that the target does not name share what it leaves of 1 in
     proportion to their tokens; where it leaves nothing, they keep their natural
     share and the named values divide the rest.  A value is left out by naming it
     with 0.  Shares of values that are absent go to the others.
     """
-    of = Window.partitionBy(dim)
-    cells = cells.withColumn("_mass", F.sum("tokens").over(of).cast("double"))
+    values = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("_m"))
     if isinstance(target, Mapping):
         named = F.lit(None).cast("double")
         for value, share in target.items():
             named = F.when(F.col(dim) == F.lit(value), F.lit(float(share))).otherwise(named)
         left = max(0.0, 1.0 - sum(target.values()))
-        cells = cells.withColumn("_named", named)
-        values = cells.groupBy(dim).agg(F.first("_mass").alias("_m"), F.first("_named").alias("_s"))
+        values = values.withColumn("_s", named)
         is_unnamed = F.col("_s").isNull()
         sums = values.agg(F.sum(F.when(is_unnamed, F.col("_m"))).alias("_u"), F.sum(F.when(~is_unnamed, F.col("_m"))).alias("_k"), F.sum("_s").alias("_n"))
         if left > NOTHING_LEFT:
@@ -67,11 +65,22 @@ def _shares(cells: DataFrame, dim: str, target: Target) -> DataFrame:
             rest = F.when((F.col("_k") > 0) & (F.col("_n") > 0), F.col("_n") * F.col("_m") / F.col("_k")).otherwise(F.col("_m"))
         values = values.crossJoin(F.broadcast(sums)).select(dim, F.coalesce("_s", rest).alias("_s"))
     else:
-        values = cells.groupBy(dim).agg(F.pow(F.first("_mass"), F.lit(float(target))).alias("_s"))
+        values = values.select(dim, F.pow("_m", F.lit(float(target))).alias("_s"))
     total = values.agg(F.sum("_s").alias("_all"))
     # One row, of one number.
-    values = values.crossJoin(F.broadcast(total)).select(dim, F.when(F.col("_all") > 0, F.col("_s") / F.col("_all")).otherwise(0.0).alias(f"_t_{dim}"))
-    return cells.drop("_mass", "_named").join(values, dim)
+    return values.crossJoin(F.broadcast(total)).select(dim, F.when(F.col("_all") > 0, F.col("_s") / F.col("_all")).otherwise(0.0).alias(f"_t_{dim}"))
+
+
+def _shares(cells: DataFrame, targets: Mapping[str, Target]) -> DataFrame:
+    """``cells`` with the target share of each cell's value of each dimension.
+
+    Every dimension's values come from ``cells`` itself and not from what the dimensions before it
+    made, so that the plan grows with their number and not with its powers.
+    """
+    out = cells
+    for dim, target in targets.items():
+        out = out.join(_values(cells, dim, target), dim)
+    return out
 
 
 def _gaps(cells: DataFrame, dims: tuple[str, ...]) -> DataFrame:
@@ -85,10 +94,7 @@ def _gaps(cells: DataFrame, dims: tuple[str, ...]) -> DataFrame:
 
 def gaps(raked: DataFrame, targets: Mapping[str, Target]) -> DataFrame:
     """dim, value, target, share and gap of each marginal: how near the fit of ``rake`` came."""
-    out = raked
-    for dim, target in targets.items():
-        out = _shares(out, dim, target)
-    return _gaps(out, tuple(targets))
+    return _gaps(_shares(raked, targets), tuple(targets))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Target], *, sweeps: int, tolerance: float = 1e-13) -> DataFrame:
@@ -120,18 +126,16 @@ def _interpreted(spark: SparkSession) -> Iterator[None]:
 
 
 def _raked(cells: DataFrame, targets: Mapping[str, Target], sweeps: int, tolerance: float, few: bool) -> DataFrame:
-    out = cells
-    for dim, target in targets.items():
-        out = _shares(out, dim, target)
-    out = cut(out.withColumn("weight", F.col("tokens").cast("double")), "cells")
+    together = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+    out = cut(_shares(together(cells), targets).withColumn("weight", F.col("tokens").cast("double")), "cells")
     for sweep in range(sweeps):
-        out = out.coalesce(1) if few else out
+        out = together(out)
         for dim in targets:
             mass = F.sum("weight").over(Window.partitionBy(dim))
             out = out.withColumn("weight", F.when(mass > 0, F.col("weight") * F.col(f"_t_{dim}") / mass).otherwise(0.0))
         if sweep % SWEEPS_A_JOB == SWEEPS_A_JOB - 1 or sweep == sweeps - 1:
             out = cut(out, "raked")
-            if (_gaps(out, tuple(targets)).agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
+            if (_gaps(together(out), tuple(targets)).agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
                 break
     return out.drop(*(f"_t_{dim}" for dim in targets))
 
