@@ -208,7 +208,7 @@ def _word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _discover(extracted: DataFrame, texts: DataFrame, rounds: int, min_support: int, min_pattern: float, min_instance: float, min_beside: float) -> DataFrame:
-    """row, start, kind, end of the strings that trusted patterns introduce, and of the seeds that are no base spans."""
+    """row, start, kind, end of the strings that trusted patterns introduce, and of the seeds that are no base spans; ``led`` tells the first from the second."""
     seen = cut(extracted.where(F.size("candidates") > 0).select("row", F.explode("candidates").alias("c")).select("row", "c.*"), "candidates")
     edges = seen.select("instance", "kind", "kinds", F.explode("patterns").alias("pattern"))
     # One row a pattern and instance, however often they meet: copies count once, but for the share of the words' places.
@@ -233,7 +233,8 @@ def _discover(extracted: DataFrame, texts: DataFrame, rounds: int, min_support:
     free = seen.where("kind is null").select("row", "start", "end", "instance", "kinds", F.explode("patterns").alias("pattern"))
     led = free.join(trusted, "pattern").where("array_contains(kinds, kind)").select("row", "start", "end", "instance", "kind").distinct()
     best = led.join(known.select("instance", "kind", "score"), ["instance", "kind"]).groupBy("row", "start", "end").agg(F.min(F.struct((-F.col("score")).alias("s"), "kind")).alias("b"))
-    return best.select("row", "start", F.col("b.kind").alias("kind"), "end").unionByName(seen.where(F.col("kind") == SECRET).select("row", "start", "kind", "end"))
+    best = best.select("row", "start", F.col("b.kind").alias("kind"), "end", F.lit(True).alias("led"))
+    return best.unionByName(seen.where(F.col("kind") == SECRET).select("row", "start", "kind", "end", F.lit(False).alias("led")))
 
 
 def extract(
@@ -248,7 +249,9 @@ def extract(
     min_beside: float = 0.05,
 ) -> DataFrame:
     """One row per input row: doc_id, base and found (arrays of start, kind, end; kinds are
-    places in ``NAMES``), base_sha256, n_email, n_ip, n_card, n_phone (base only), spans.
+    places in ``NAMES``), base_sha256, n_email, n_ip, n_card, n_phone (base only), spans, and
+    by origin the numbers of found spans: n_pattern (introduced by trusted patterns), n_form
+    (keys told by their form alone, which are seeds).
 
     A pattern is trusted from ``min_support`` distinct known instances, a share of
     ``min_pattern`` of all its instances, and if its rarest word stands beside a known instance
@@ -259,7 +262,7 @@ def extract(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     extracted = cut(rows.mapInArrow(_extract, _EXTRACTED), "extracted")
     found = _discover(extracted, rows, rounds, min_support, min_pattern, min_instance, min_beside)
-    found = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("found"))
+    found = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("found"), F.count_if("led").alias("n_pattern"), F.count_if(~F.col("led")).alias("n_form"))
     out = extracted.drop("candidates").join(found, "row", "left")
     out = out.withColumn("found", F.coalesce("found", F.array().cast("array<struct<start: long, kind: int, end: long>>")))
     names = F.array(*map(F.lit, NAMES))
@@ -272,4 +275,5 @@ def extract(
         F.concat_ws(",", F.transform(F.array_sort(F.concat("base", "found")), text)).alias("spans"),
         "base",
         "found",
+        *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_pattern", "n_form")),
     )

@@ -129,6 +129,8 @@ def test_planted_identifiers_are_found_and_clean_texts_left(spark):
     assert all(not got[i]["found"] and got[i]["n_phone"] == 1 for i in range(8, 16))
     assert [shown(16 + i) for i in range(3)] == [["secret:correct-horse-battery"], ["phone:0033 1 23 45 67 89"], ["phone:743-555-2222"]]
     assert all(not got[i]["found"] and got[i]["spans"] == "" for i in range(19, len(rows)))
+    origins = [(got[i]["n_pattern"], got[i]["n_form"]) for i in range(len(rows))]
+    assert origins == [(0, 1)] * 8 + [(0, 0)] * 8 + [(1, 0)] * 3 + [(0, 0)] * len(clean)
 
 
 def brute_found(texts, rounds=3, support=5, pattern=0.7, instance=0.7, beside=0.05):
