@@ -75,6 +75,12 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system that Spark knows is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def rename(spark: SparkSession, path: str, to: str) -> None:
     """Move a folder to a place where nothing is."""
     made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

@@ -1,6 +1,7 @@
 """Saving again, checking while saving, and folds side by side."""
 
 import threading
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,69 @@ def test_a_second_run_replaces_and_a_failure_keeps_what_was_saved(spark, tmp_pat
     assert not [p for p in (tmp_path / "u" / "_raw").iterdir() if p.is_dir()]
 
 
+def ranged(log, last, fails=(), blind=False):
+    """A provider of January days up to ``last`` that notes its calls in a folder; a blind one ignores the start."""
+
+    def fetch(ticker, start, end):
+        (log / f"{ticker} {start} {end} {uuid.uuid4().hex}").touch()
+        if ticker in fails:
+            raise ConnectionError("down")
+        days = (f"2024-01-{d:02d}" for d in range(1, last + 1))
+        return [{"Date": d, "Open": 10.0, "High": 12.0, "Low": 9.0, "Close": 11.0, "Adj Close": 11.0, "Volume": 5} for d in days if blind or (not start or d >= start) and (not end or d <= end)]
+
+    return fetch
+
+
+def calls(log):
+    """Ticker, first and last day of the calls noted so far, which are forgotten."""
+    out = sorted(tuple(p.name.split()[:3]) for p in log.iterdir())
+    for p in log.iterdir():
+        p.unlink()
+    return out
+
+
+def test_an_update_asks_only_for_days_that_are_not_saved(spark, tmp_path):
+    path, log = str(tmp_path / "u"), tmp_path / "log"
+    log.mkdir()
+    read = lambda: sorted((r["ticker"], r["session_date"]) for r in spark.read.option("header", True).csv(path).collect())
+    days = lambda t, n: [(t, f"2024-01-{d:02d}") for d in range(1, n + 1)]
+    assert provider.update_universe(spark, ranged(log, 5), ["aaa", "007"], path) == (["007", "AAA"], {})
+    assert calls(log) == [("007", "None", "None"), ("AAA", "None", "None")]
+    assert provider.last_sessions(spark, path) == {"AAA": "2024-01-05", "007": "2024-01-05"}
+    # A day later: one session of the known tickers, the whole history of a new one; a failure keeps what it has.
+    fine, failed = provider.update_universe(spark, ranged(log, 6, fails=("007",)), ["AAA", "007", "CCC"], path)
+    assert fine == ["AAA", "CCC"] and failed == {"007": "ConnectionError: down"}
+    assert calls(log) == [("007", "2024-01-06", "None"), ("AAA", "2024-01-06", "None"), ("CCC", "None", "None")]
+    # The failed ticker catches up; nothing new is no failure.
+    assert provider.update_universe(spark, ranged(log, 6), ["AAA", "007", "CCC"], path) == (["007"], {})
+    want = sorted(days("AAA", 6) + days("CCC", 6) + [("7", d) for _, d in days("007", 6)])
+    assert sorted((t.lstrip("0"), d) for t, d in read()) == want
+    # Days that are saved already are refused, and no file changes.
+    fine, failed = provider.update_universe(spark, ranged(log, 7, blind=True), ["AAA", "DDD"], path)
+    assert fine == ["DDD"] and failed == {"AAA": "not_after: 6"}
+    assert [d for t, d in read() if t == "AAA"] == [d for _, d in days("AAA", 6)]
+    # Nothing at all for a ticker that is not saved is a failure.
+    assert provider.update_universe(spark, ranged(log, 0), ["EEE"], path) == ([], {"EEE": "ValueError: no rows"})
+    # A run of whole histories makes one file a ticker again.
+    assert provider.fetch_universe(spark, provided(6), ["AAA"], path) == (["AAA"], {})
+    assert len(list((tmp_path / "u" / "of=AAA").glob("*.csv"))) == 1 and [d for t, d in read() if t == "AAA"] == [d for _, d in days("AAA", 6)]
+
+
+def test_filters_reach_the_provider(spark, tmp_path):
+    source = lambda **more: provider.scan_range(spark, ranged(tmp_path, 9, **more), ["AAA", "BBB", "CCC"])
+    got = source().where("ticker = 'BBB' and session_date > '2024-01-03' and session_date <= '2024-01-05'").collect()
+    assert [(r["ticker"], r["session_date"]) for r in got] == [("BBB", "2024-01-04"), ("BBB", "2024-01-05")]
+    assert calls(tmp_path) == [("BBB", "2024-01-03", "2024-01-05")]
+    assert source().where("ticker in ('AAA', 'CCC') and session_date = '2024-01-09'").count() == 2
+    assert calls(tmp_path) == [("AAA", "2024-01-09", "2024-01-09"), ("CCC", "2024-01-09", "2024-01-09")]
+    assert source().where("ticker = 'ZZZ'").count() == 0 and calls(tmp_path) == []
+    assert source().where("session_date >= 'soon'").count() == 0
+    assert [c[1:] for c in calls(tmp_path)] == [("None", "None")] * 3
+    assert source(fails=("AAA",)).where("ticker <> 'BBB'").where("error is not null").count() == 1
+    with pytest.raises(Exception, match="down"):
+        source(fails=("AAA",)).where("session_date >= '2024-01-03'").count()
+
+
 def test_saving_again_replaces(spark, tmp_path):
     frame = bars(spark)
     for save, read in ((panel.save_csv, lambda p: panel.normalise(panel.read_csv(spark, p))), (panel.save_parquet, spark.read.parquet)):
