@@ -182,6 +182,7 @@ def _windows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column("edges").fill_null(False))
             for first, end, data, offsets in text_slices(batch.column("text")):
                 p = _Parse(batch, first, end, data, offsets, window)
                 own = np.flatnonzero(p.leader == np.arange(len(p.leader)))
@@ -292,12 +293,14 @@ def parse_repeats(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
     index = index.where("lo <> hi or n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"), "source", "at")
     marks = anchors.select("anchor", "doc_id").join(index, "anchor").where("mixed or doc_id > source")
     code = F.col("anchor") + F.when(F.col("mixed"), _BOUNDARY).otherwise(_COVERED)
-    marks = cut(marks.groupBy("doc_id").agg(F.collect_list(F.struct(code.alias("code"), "source", "at")).alias("marks")), "marks")
+    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct(code.alias("code"), "source", "at")).alias("marks"), F.bool_or("mixed").alias("edges"))
+    marks = cut(marks, "marks", free=True)
     texts = rows.repartition(partitions(docs.sparkSession), "doc_id")
+    # Nothing is filtered here: all readers of ``marked`` have one plan, so that texts move once.
     marked = texts.join(marks, "doc_id", "left")
-    windows = marked.where("marks is not null").mapInArrow(_windows(window), "key long, check int, doc_id long, at int")
+    windows = marked.mapInArrow(_windows(window), "key long, check int, doc_id long, at int")
     firsts = windows.groupBy("key", "check").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("at")).where("source <> last").drop("last")
     covered = windows.select("key", "check", "doc_id").join(firsts, ["key", "check"]).where("doc_id > source")
     covered = covered.groupBy("doc_id").agg(F.collect_list(F.struct("key", "source", "at")).alias("covered"))
     out = "doc_id long, n_words long, n_removed long, factors array<struct<start: long, length: long, source: long, place: long>>, spans array<struct<start: long, end: long>>, kept_text string"
-    return marked.join(covered, "doc_id", "left").select("doc_id", "text", "marks", "covered").mapInArrow(_factored(window), out)
+    return marked.join(covered, "doc_id", "left").mapInArrow(_factored(window), out)

@@ -1,8 +1,10 @@
 import collections
 import hashlib
+import pathlib
 import pickle
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -466,6 +468,33 @@ def test_texts_without_an_id_repeat_within_themselves(spark):
     assert gone == {(None, 120): brute_repeats([(0, text)], 20)[0][1], (7, 30): 0, (None, 30): 0}
 
 
+def shuffled(spark):
+    """Bytes of the shuffle files that lie on disk, by path."""
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {p: p.stat().st_size for d in dirs for p in pathlib.Path(d.getPath()).rglob("shuffle_*.data")}
+
+
+def test_parsing_moves_texts_once_and_frees_what_its_marks_shuffled(spark):
+    rng = random.Random(21)
+    words = lambda n: " ".join(f"{rng.getrandbits(32):x}" for _ in range(n))
+    shared = words(60)
+    edited = " ".join("edit" if i == 30 else w for i, w in enumerate(shared.split()))
+    rows = [(i, words(1500) + " " + (shared, edited, "end")[min(i % 9, 2)]) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(3)
+    before = shuffled(spark).keys()
+    docs.repartition(4, "doc_id").write.format("noop").mode("overwrite").save()
+    once = sum(n for p, n in shuffled(spark).items() if p not in before)
+    before = shuffled(spark).keys()
+    parsed = substring.parse_repeats(docs)
+    end = time.time() + 20
+    while (left := shuffled(spark).keys() - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left
+    parsed.write.format("noop").mode("overwrite").save()
+    assert once <= sum(n for p, n in shuffled(spark).items() if p not in before) < 1.5 * once
+    assert {r["doc_id"]: r["n_removed"] for r in parsed.collect()} == {i: n for i, (_, n, _) in brute_repeats(rows, 20).items()}
+
+
 # ------------------------------------------------------------------ op7
 
 
